@@ -1,12 +1,13 @@
 r"""Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are the \n-split parts of a text; their words are runs of [^\x20\x09-\x0D] with A-Z lower-cased. A line repeats an
-earlier one if the words are equal (lines of EXACT words or more) or one word inserted, deleted or replaced apart (both of
-FUZZY words or more). Earlier is by (doc_id, the text's hash, line number); the earliest line stays, each later one that
-repeats any earlier line goes, whether or not that earlier line stays itself. Shorter lines always stay.
-
-1. Equal lines: a grouped minimum over a hash of the words; the rest works on one line of each class.
-2. Two lines one word apart share the first or the last half of their words. Only lines that share a half with another go on.
+Lines are the \n-split parts of a text; their words are runs of [^\x20\x09-\x0D]. A line repeats an earlier one if the words are
+equal (lines of EXACT words or more) or one word inserted, deleted or replaced apart (both of FUZZY words or more). Earlier is by
+(doc_id, the text's hash, line number); the earliest line stays, each later one that repeats any earlier line goes, whether or
+not that earlier line stays itself. Shorter lines always stay.
+
+1. Equal lines: a grouped minimum over a hash of the words; the rest works on one line of each class. No text is shuffled here.
+2. Two lines of m words or fewer that are one word apart share their first or their last m / 2 words. Only lines that share such
+   a part (its length rounded down to a power of two) with another line go on; only they are fetched as text.
 3. Of those, each variant with one word left out is a key, and so are all words together. Keys are sums of position-dependent
    word hashes, so that all n + 1 keys of a line come from running sums over its n words. Keys of equal variants meet in
    grouped minima: a line replaces a word of another if both leave out the same position and get the same key; it extends
@@ -30,15 +31,37 @@ SPACE = r"[\x20\x09-\x0D]+"
 _NO_ID = (1 << 63) - 1
 
 
-def _words(line: Column) -> Column:
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, SPACE), lambda w: w != "")
-
-
 def _row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("d", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("h", F.xxhash64("text"))
 
 
+def _single_spaced(line: Column) -> Column:
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+
+
+def _parts() -> Column:
+    """Hashes of the first and the last L words of t, for L the power of two at most n / 2; also for n + 1 where that gives another L."""
+
+    def ends(count: str, when: Column) -> list[Column]:
+        size = f"shiftleft(1, length(bin(({count}) div 2)) - 1)"
+        return [F.when(when, F.xxhash64(F.lit(seed), F.expr(f"substring_index(t, ' ', cast({sign}{size} as int))"))) for seed, sign in ((2, ""), (3, "-"))]
+
+    crosses = F.expr("((n + 1) & n) = 0")  # n + 1 is a power of two
+    fuzzy = F.col("n") >= FUZZY
+    return F.filter(F.array(*ends("n", fuzzy), *ends("n + 1", fuzzy & crosses)), lambda x: x.isNotNull())
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """d, h, line, t (single-spaced), n (words) of the lines that count."""
+    raw = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.octet_length("raw") >= 2 * EXACT - 1)
+    t = raw.select("d", "h", "line", _single_spaced(F.col("raw")).alias("t"))
+    n = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit(" "), F.lit(""))) + 1
+    return t.select("*", n.alias("n")).where(F.col("n") >= EXACT)
+
+
 def _at(position: Column, word: Column, seed: int) -> Column:
     """40 bits of a word at a position, so that sums over millions of words stay within 63 bits."""
     return F.shiftrightunsigned(F.xxhash64(word, position.cast("long"), F.lit(seed)), 24)
@@ -46,88 +69,74 @@ def _at(position: Column, word: Column, seed: int) -> Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line: the number (from 0) of each line to drop; d and h name the document (see _row_key)."""
-    docs = _row_key(docs.select("doc_id", "text")).where("text is not null")
-    lines = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("d", "h", "line", _words(F.col("t")).alias("w"))
-    lines = lines.where(F.size("w") >= EXACT).select("d", "h", "line", F.array_join("w", " ").alias("t"), F.size("w").alias("n"))
-    lines = lines.select(F.struct("d", "h", "line").alias("at"), "t", "n", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"))
+    docs = _row_key(docs.select("doc_id", "text")).where("text is not null").select("d", "h", "text")
+    lines = written(_lines(docs).select("d", "h", "line", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _parts().alias("parts")), "lines")
 
-    classes = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("n").alias("n"), F.first("t").alias("t"))
-    classes = written(classes, "lines")
+    at = F.struct("d", "h", "line")
+    classes = written(lines.groupBy("k1", "k2", "parts").agg(F.min(at).alias("at"), F.max(at).alias("last")), "classes")
     again = classes.where(F.col("at") < F.col("last")).select("k1", "k2", F.col("at").alias("first"))
-    slim = lines.select("at", "k1", "k2")
-    equal = slim.join(again, ["k1", "k2"]).where(F.col("first") < F.col("at")).select("at")
-
-    # Lines that share a half with another line.
-    words = F.split("t", " ")
-    long_lines = classes.where(F.col("n") >= FUZZY)
-    halves = []
-    for m in (F.col("n"), F.col("n") + 1):
-        half = F.floor(m / 2).cast("int")
-        halves += [F.struct(m.alias("m"), F.xxhash64(F.lit(2), F.slice("w", 1, half)).alias("s")), F.struct(m.alias("m"), F.xxhash64(F.lit(3), F.slice("w", F.col("n") - half + 1, half)).alias("s"))]
-    halves = long_lines.select("k1", "k2", "n", words.alias("w")).select("k1", "k2", F.explode(F.array(*halves)).alias("half"))
-    shared = halves.groupBy("half").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").select("half")
-    some = halves.join(shared, "half").select("k1", "k2").distinct()
-    near = written(long_lines.join(some, ["k1", "k2"]).select("k1", "k2", "at", "n", "t"), "near")
+    equal = written(lines.select("k1", "k2", at.alias("at")).join(again.hint("merge"), ["k1", "k2"]).where(F.col("first") < F.col("at")).select("at.*"), "equal")
+
+    # Lines that share a part with another line, fetched as text and numbered in order.
+    parts = classes.select("k1", "k2", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("part")
+    some = parts.join(shared.hint("merge"), "part").select("k1", "k2").distinct()
+    wanted = written(classes.select("k1", "k2", "at").join(some.hint("merge"), ["k1", "k2"]).groupBy("at.d", "at.h").agg(F.collect_list("at.line").alias("lines")), "wanted")
+    near = docs.join(wanted.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "lines", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.array_contains("lines", F.col("line")))
+    near = written(near.select("d", "h", "line", _single_spaced(F.col("raw")).alias("t")), "near")
+    near = near.groupBy("d", "h", "line").agg(F.first("t").alias("t")).orderBy("d", "h", "line").withColumn("ord", F.monotonically_increasing_id())
+    near = written(near, "near")
 
     # The keys of each line: x1, x2 with word i left out (i from 0), or of all words (i = -1).
-    spread = near.select("k1", "k2", "at", "n", F.posexplode(F.split("t", " ")).alias("i", "w"))
-    spread = spread.select("k1", "k2", "at", "n", "i", *[_at(F.col("i") - back, F.col("w"), s).alias(f"{'pq'[back]}{s}") for s in (1, 2) for back in (0, 1)])
-    line = W.partitionBy("k1", "k2")
-    before, after = line.orderBy("i").rowsBetween(W.unboundedPreceding, -1), line.orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    zero = F.lit(0).cast("long")
-    sums = spread.select("k1", "k2", "at", "n", "i", *[(F.coalesce(F.sum(f"p{s}").over(before), zero) + F.coalesce(F.sum(f"q{s}").over(after), zero)).alias(f"x{s}") for s in (1, 2)], *[(F.coalesce(F.sum(f"p{s}").over(before), zero) + F.col(f"p{s}")).alias(f"y{s}") for s in (1, 2)])
-    last_word = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("i"), F.col("y1").alias("x1"), F.col("y2").alias("x2"), F.col("n").alias("len")))
+    spread = near.select("ord", "t").repartition("ord").select("ord", F.posexplode(F.split("t", " ")).alias("i", "w"))
+    spread = spread.select("ord", "i", *[_at(F.col("i") - back, F.col("w"), s).alias(f"{'pq'[back]}{s}") for s in (1, 2) for back in (0, 1)])
+    line = W.partitionBy("ord")
+    upto = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = spread.select("ord", "i", F.count("*").over(line).cast("int").alias("n"), *[(F.sum(f"p{s}").over(upto) - F.col(f"p{s}") + F.sum(f"q{s}").over(line) - F.sum(f"q{s}").over(upto)).alias(f"x{s}") for s in (1, 2)], *[F.sum(f"p{s}").over(upto).alias(f"y{s}") for s in (1, 2)])
+    whole = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("i"), F.col("y1").alias("x1"), F.col("y2").alias("x2"), F.col("n").alias("len")))
     this = F.struct("i", "x1", "x2", (F.col("n") - 1).alias("len"))
-    keys = sums.select("k1", "k2", "at", F.explode(F.filter(F.array(this, last_word), lambda x: x.isNotNull())).alias("v")).select("k1", "k2", "at", "v.*")
-    keys = keys.where((F.col("i") >= 0) | (F.col("len") >= FUZZY))
-
-    # The earliest line with each variant, with each variant at the same position, and with each whole key.
-    meet = keys.groupBy("len", "x1", "x2", "i").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    whole = meet.where("i = -1").select("len", "x1", "x2", F.col("first").alias("whole"))
-    cut = meet.where("i >= 0")
-    replaced = cut.where(F.col("first") < F.col("last")).select("len", "x1", "x2", "i", "first")
-    any_cut = cut.groupBy("len", "x1", "x2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    touch = written(any_cut.join(whole, ["len", "x1", "x2"]), "touch")
-    extended = touch.where(F.col("whole") < F.col("last")).select("len", "x1", "x2", F.col("whole").alias("first"))
-    of_cut = keys.where("i >= 0")
-    found = of_cut.join(replaced, ["len", "x1", "x2", "i"]).select("at", "first")
-    found = found.unionByName(of_cut.join(extended, ["len", "x1", "x2"]).select("at", "first"))
-    found = found.unionByName(touch.where(F.col("first") < F.col("whole")).select(F.col("whole").alias("at"), "first"))
-    found = found.where(F.col("first") < F.col("at")).groupBy("at").agg(F.min("first").alias("first"))
+    keys = sums.select("ord", F.explode(F.filter(F.array(this, whole), lambda x: x.isNotNull())).alias("v")).select("ord", "v.*")
+    keys = written(keys, "keys")
+
+    # The earliest line with each variant at the same position, and with each whole key.
+    meet = keys.groupBy("len", "x1", "x2", "i").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    wholes = meet.where("i = -1").select("len", "x1", "x2", F.col("first").alias("whole"))
+    cuts = meet.where("i >= 0").join(wholes.hint("merge"), ["len", "x1", "x2"], "left").where("first < last or whole is not null")
+    cuts = written(cuts, "cuts")
+    hits = cuts.select("len", "x1", "x2", "i", F.least("first", "whole").alias("first"), "last").where("first < last")
+    found = keys.join(hits.drop("last").hint("merge"), ["len", "x1", "x2", "i"]).select("ord", "first")
+    found = found.unionByName(cuts.where("first < whole").select(F.col("whole").alias("ord"), "first"))
+    found = found.where("first < ord").groupBy("ord").agg(F.min("first").alias("first"))
 
     # Word by word: the words before the first difference and after the last one must leave at most one word.
-    pair = found.join(near.select("at", F.split("t", " ").alias("w")), "at").join(near.select(F.col("at").alias("first"), F.split("t", " ").alias("v")), "first")
-    longer = F.greatest(F.size("w"), F.size("v"))
-    shorter = F.least(F.size("w"), F.size("v"))
-    differ = F.coalesce(F.nullif(F.array_position(F.zip_with("w", "v", lambda a, b: ~a.eqNullSafe(b)), True), F.lit(0).cast("long")), longer + 1)
-    rest_w = F.slice("w", differ.cast("int") + F.when(F.size("w") == longer, 1).otherwise(0), longer)
-    rest_v = F.slice("v", differ.cast("int") + F.when(F.size("v") == longer, 1).otherwise(0), longer)
-    near_at = pair.where((longer - shorter <= 1) & (rest_w == rest_v)).select("at")
-    # all lines of a class that goes by a near line, or the earliest by it and the others by step 1
-    return equal.unionByName(near_at).distinct().select("at.*")
+    pair = found.join(near.select("ord", "d", "h", "line", F.split("t", " ").alias("w")), "ord").join(near.select(F.col("ord").alias("first"), F.split("t", " ").alias("v")), "first")
+    longer, shorter = F.greatest(F.size("w"), F.size("v")), F.least(F.size("w"), F.size("v"))
+    position = F.array_position(F.zip_with("w", "v", lambda a, b: ~a.eqNullSafe(b)), True)
+    differ = F.coalesce(F.nullif(position, F.lit(0).cast("long")), longer + 1).cast("int")
+    rest = [F.slice(x, differ + F.when(F.size(x) == longer, 1).otherwise(0), longer) for x in ("w", "v")]
+    near_at = pair.where((longer - shorter <= 1) & (rest[0] == rest[1])).select("d", "h", "line")
+    # the other lines of a near line's class are later than it, and go by step 1
+    return equal.unionByName(near_at).distinct()
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs (any columns) with text stripped of its repeated lines, and n_lines, n_dropped (long) beside it."""
-    gone = repeated_lines(docs).groupBy("d", "h").agg(F.collect_list("line").alias("gone__"))
-    all_columns = docs.columns
+    """The rows of docs (any columns) with text stripped of its repeated lines, and n_lines__, n_dropped__ (long) beside it."""
+    gone = written(repeated_lines(docs).groupBy(F.col("d").alias("d__"), F.col("h").alias("h__")).agg(F.collect_list("line").alias("gone__")), "gone")
     keyed = docs.withColumn("d__", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("h__", F.xxhash64("text"))
-    gone = gone.select(F.col("d").alias("d__"), F.col("h").alias("h__"), "gone__")
-    out = keyed.join(gone, ["d__", "h__"], "left")
+    out = keyed.join(gone.hint("shuffle_hash"), ["d__", "h__"], "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone__"))
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines__"), F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_dropped__")]
-    out = out.select(*[F.col(c) for c in all_columns if c != "text"], text.alias("text"), *counts)
-    out = out.withColumn("n_dropped__", F.greatest("n_dropped__", F.lit(0).cast("long")))
-    return out.select(*all_columns, "n_lines__", "n_dropped__")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    left = F.filter(lines, lambda t, i: ~F.array_contains("gone__", i))
+    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    dropped = F.when(F.col("gone__").isNull(), 0).otherwise(F.size("gone__")).cast("long")
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*columns, n_lines.alias("n_lines__"), dropped.alias("n_dropped__"))
 
 
 SQL = r"""
 WITH docs AS (SELECT doc_id, text FROM documents),
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM docs),
-lines AS (SELECT doc_id, line, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
+lines AS (SELECT doc_id, line, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
 big AS (SELECT doc_id, line, w, len(w) AS n, doc_id * 1000000 + line AS pos FROM lines WHERE len(w) >= 3),
 class AS (SELECT w, n, min(pos) AS pos FROM big GROUP BY w, n),
 fz AS (SELECT * FROM class WHERE n >= 8),
