@@ -38,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs only the unfinished tasks of later jobs. The files go when the driver exits.
     """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished tables go once the driver has collected their plans
     path = f"{shared_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     pairs = written(pairs.mapInPandas(_agreeing, "a long, b long, agree double"), "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(needed, "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, s array<long>").where("size(s) > 0"), "sets")
+    sets = written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, s array<long>").where("size(s) > 0"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
         x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
