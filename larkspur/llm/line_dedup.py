@@ -42,7 +42,10 @@ def _single_spaced(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
-def _parts() -> Column:
+PARTS = ("p1", "p2", "p3", "p4")
+
+
+def _parts() -> list[Column]:
     """Hashes of the first and the last L words of t, for L the power of two at most n / 2; also for n + 1 where that gives another L."""
 
     def ends(count: str, when: Column) -> list[Column]:
@@ -51,7 +54,7 @@ def _parts() -> Column:
 
     crosses = F.expr("((n + 1) & n) = 0")  # n + 1 is a power of two
     fuzzy = F.col("n") >= FUZZY
-    return F.filter(F.array(*ends("n", fuzzy), *ends("n + 1", fuzzy & crosses)), lambda x: x.isNotNull())
+    return [c.alias(p) for c, p in zip([*ends("n", fuzzy), *ends("n + 1", fuzzy & crosses)], PARTS, strict=True)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -70,32 +73,33 @@ def _at(position: Column, word: Column, seed: int) -> Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line: the number (from 0) of each line to drop; d and h name the document (see _row_key)."""
     docs = _row_key(docs.select("doc_id", "text")).where("text is not null").select("d", "h", "text")
-    lines = written(_lines(docs).select("d", "h", "line", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _parts().alias("parts")), "lines")
+    lines = written(_lines(docs).select("d", "h", "line", F.xxhash64("t").alias("k1"), F.octet_length("t").alias("k2"), *_parts()), "lines")
 
     at = F.struct("d", "h", "line")
-    classes = written(lines.groupBy("k1", "k2", "parts").agg(F.min(at).alias("at"), F.max(at).alias("last")), "classes")
+    classes = written(lines.groupBy("k1", "k2", *PARTS).agg(F.min(at).alias("at"), F.max(at).alias("last")), "classes")
     again = classes.where(F.col("at") < F.col("last")).select("k1", "k2", F.col("at").alias("first"))
     equal = written(lines.select("k1", "k2", at.alias("at")).join(again.hint("merge"), ["k1", "k2"]).where(F.col("first") < F.col("at")).select("at.*"), "equal")
 
     # Lines that share a part with another line, fetched as text and numbered in order.
-    parts = classes.select("k1", "k2", F.explode("parts").alias("part"))
+    parts = classes.select("k1", "k2", F.explode(F.array(*PARTS)).alias("part")).where("part is not null")
     shared = parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("part")
     some = parts.join(shared.hint("merge"), "part").select("k1", "k2").distinct()
     wanted = written(classes.select("k1", "k2", "at").join(some.hint("merge"), ["k1", "k2"]).groupBy("at.d", "at.h").agg(F.collect_list("at.line").alias("lines")), "wanted")
     near = docs.join(wanted.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "lines", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.array_contains("lines", F.col("line")))
     near = written(near.select("d", "h", "line", _single_spaced(F.col("raw")).alias("t")), "near")
     near = near.groupBy("d", "h", "line").agg(F.first("t").alias("t")).orderBy("d", "h", "line").withColumn("ord", F.monotonically_increasing_id())
+    near = near.withColumn("n", F.size(F.split("t", " ")))
     near = written(near, "near")
 
     # The keys of each line: x1, x2 with word i left out (i from 0), or of all words (i = -1).
-    spread = near.select("ord", "t").repartition("ord").select("ord", F.posexplode(F.split("t", " ")).alias("i", "w"))
-    spread = spread.select("ord", "i", *[_at(F.col("i") - back, F.col("w"), s).alias(f"{'pq'[back]}{s}") for s in (1, 2) for back in (0, 1)])
+    spread = near.select("ord", "n", "t").repartition("ord").select("ord", "n", F.posexplode(F.split("t", " ")).alias("i", "w"))
+    spread = spread.select("ord", "n", "i", *[_at(F.col("i") - back, F.col("w"), s).alias(f"{'pq'[back]}{s}") for s in (1, 2) for back in (0, 1)])
     line = W.partitionBy("ord")
     upto = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = spread.select("ord", "i", F.count("*").over(line).cast("int").alias("n"), *[(F.sum(f"p{s}").over(upto) - F.col(f"p{s}") + F.sum(f"q{s}").over(line) - F.sum(f"q{s}").over(upto)).alias(f"x{s}") for s in (1, 2)], *[F.sum(f"p{s}").over(upto).alias(f"y{s}") for s in (1, 2)])
+    sums = spread.select("ord", "i", "n", *[(F.sum(f"p{s}").over(upto) - F.col(f"p{s}") + F.sum(f"q{s}").over(line) - F.sum(f"q{s}").over(upto)).alias(f"x{s}") for s in (1, 2)], *[F.sum(f"p{s}").over(upto).alias(f"y{s}") for s in (1, 2)])
     whole = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("i"), F.col("y1").alias("x1"), F.col("y2").alias("x2"), F.col("n").alias("len")))
     this = F.struct("i", "x1", "x2", (F.col("n") - 1).alias("len"))
-    keys = sums.select("ord", F.explode(F.filter(F.array(this, whole), lambda x: x.isNotNull())).alias("v")).select("ord", "v.*")
+    keys = sums.select("ord", F.explode(F.array(this, whole)).alias("v")).where("v is not null").select("ord", "v.*")
     keys = written(keys, "keys")
 
     # The earliest line with each variant at the same position, and with each whole key.
