@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 PATH, WORDS, SHAPE, HIDDEN = 96, 32, 6, 16
 INPUT = PATH + WORDS + SHAPE
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -341,4 +343,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts = extract(model, some["html"].tolist())
                 yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,6 @@
 """Linear text classifiers over word presence and shape, fitted on a bounded sample of labelled rows.
 
-A text becomes the set of its hashed words (SLOTS slots) and a few shape values. Fitting reads at most `sample` labelled
+A text becomes the set of its hashed words and beginnings of words (SLOTS slots) and a few shape values. Fitting reads at most `sample` labelled
 documents (those with the smallest hash of their doc_id), whose slot sets come to the driver, never their texts; documents that
 share their three smallest slot hashes count once, so that copies do not make their words look meaningful. The slots with the
 highest chi-square for a label are its features; Newton steps fit an L2-penalised logistic model.
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 SLOTS = 1 << 22
 SAMPLE = 8000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -27,8 +29,14 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def slots_of(word: str) -> list[int]:
+    """The slots of a word and of its beginnings, so that forms of a stem share features."""
+    names = [word] + [f"^{word[:n]}" for n in (4, 5, 7) if len(word) >= n]
+    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in names]
+
+
 def slots(text: str | None) -> list[int]:
-    return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in words(text)})
+    return sorted({s for w in words(text) for s in slots_of(w)})
 
 
 def shape(text: str | None) -> list[float]:
@@ -52,7 +60,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], size: int = S
     labels = labels.select("doc_id", *columns).where("doc_id is not null").dropDuplicates(["doc_id"])
     chosen = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # size rows at most
-    rows = texts.mapInPandas(_described, "doc_id long, slots array<int>, shape array<double>").toPandas()
+    rows = mapped(texts, _described, "doc_id long, slots array<int>, shape array<double>").toPandas()
     rows = rows.drop_duplicates("doc_id").merge(chosen.toPandas(), on="doc_id").sort_values("doc_id").reset_index(drop=True)
     sketch = [tuple(sorted(s, key=lambda x: (x * 2654435761) & 0xFFFFFFFF)[:3]) or (-1 - i,) for i, s in enumerate(rows["slots"])]
     return rows[~pd.Series(sketch, dtype=object).duplicated()].reset_index(drop=True)
@@ -64,10 +72,11 @@ class Features:
     def __init__(self, chosen: list[int]):
         self.at = {s: i for i, s in enumerate(chosen)}
         self.width = len(chosen) + SHAPE + 1
-        self._known: dict[str, int] = {}
+        self._known: dict[str, list[int]] = {}
 
     @classmethod
-    def choose(cls, rows: pd.DataFrame, targets: list[np.ndarray], each: int = 200, least: int = 5) -> Features:
+    def choose(cls, rows: pd.DataFrame, targets: list[np.ndarray], each: int = 200, least: int = 6, precision: float = 0.0) -> Features:
+        """The slots of highest chi-square for each target, among those in `least` rows whose share of positives is `precision`."""
         lists = [np.asarray(s, np.int64) for s in rows["slots"]]
         n, all_slots = len(lists), np.concatenate([*lists, np.zeros(0, np.int64)])
         owner = np.repeat(np.arange(n), [len(x) for x in lists])
@@ -78,7 +87,7 @@ class Features:
             pos = np.bincount(back, weights=y[owner].astype(float), minlength=len(distinct)) if len(back) else df
             share = y.mean() if n else 0
             expected = df * share
-            chi = np.where(df >= least, (pos - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
+            chi = np.where((df >= least) & (pos >= precision * df), (pos - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
             for i in np.lexsort((distinct, -chi))[:each]:
                 if chi[i] > 15:
                     chosen[int(distinct[i])] = None
@@ -99,12 +108,12 @@ class Features:
         known = self._known
         for k, t in enumerate(texts):
             for w in words(t):
-                i = known.get(w)
-                if i is None:
-                    i = self.at.get(zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS, -1)
+                found = known.get(w)
+                if found is None:
+                    found = [self.at[s] for s in slots_of(w) if s in self.at]
                     if len(known) < 500_000:
-                        known[w] = i
-                if i >= 0:
+                        known[w] = found
+                for i in found:
                     x[k, i] = 1
             x[k, -SHAPE - 1 : -1] = shape(t)
         x[:, -1] = 1
@@ -115,7 +124,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * z) + 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, steps: int = 25) -> np.ndarray:
     """Weights of an L2-penalised logistic model (the last column, a constant, is not penalised); Newton steps, halved as needed."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import widened
+from .common import mapped, widened
 
 RATE = 8000
 
@@ -214,7 +214,7 @@ def sniffed(table: DataFrame, value: str, declared: str, carve: bool = False) ->
             b["embedded__"] = [[{"offset": o, "length": n, "type": t, "bytes": v[o : o + n] if carve else None} for o, n, t in f if not w] for v, f, w in zip(b[value], found, whole, strict=True)]
             yield b
 
-    return table.mapInPandas(run, schema)
+    return mapped(table, run, schema)
 
 
 def text_media(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
@@ -237,4 +237,4 @@ def text_media(docs: DataFrame, declared: str = "application/octet-stream") -> D
                 rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": b["doc_id"].dtype})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

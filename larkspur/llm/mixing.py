@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened, written
+from .common import mapped, widened, written
 from .linear import SAMPLE, Features, logistic, sample, sigmoid
 
 MU, STEPS = 1e-3, 25
@@ -61,7 +61,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, targets: dict[str, float], si
                 out["p__"] = [r.tolist() for r in np.round(p, 6)]
                 yield out
 
-    return docs.mapInPandas(run, widened(docs, n_tokens__="long", p__="array<double>")), domains or ["all"]
+    return mapped(docs, run, widened(docs, n_tokens__="long", p__="array<double>")), domains or ["all"]
 
 
 def _rate(gradients: list[list[float]], budget: float) -> F.Column:

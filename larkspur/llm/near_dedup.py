@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import components, parts, written
+from .common import components, mapped, parts, written
 
 TREES, DEPTH, MIN_DEPTH, NEAR = 16, 8, 2, 3
 N = TREES * DEPTH
@@ -156,22 +156,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    signed = written(docs.mapInPandas(_sign(k), "doc_id long, n_shingles long, skey binary, sig binary"), "signed")
+    signed = written(mapped(docs, _sign(k), "doc_id long, n_shingles long, skey binary, sig binary"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     reps = written(real.groupBy("skey").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("copies")).select(F.col("x.doc_id").alias("rep"), "skey", F.col("x.sig").alias("sig")), "reps")
-    orders = reps.select("rep", "sig").mapInPandas(_orders, "tree int, prefix binary, rep long")
+    orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, rep long")
     orders = orders.repartitionByRange(parts(spark), "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
     schema = "a long, b long, tree int, prefix binary"
-    found = written(orders.mapInPandas(_candidates, schema), "candidates")
+    found = written(mapped(orders, _candidates, schema), "candidates")
     ends = found.where("tree is not null").select("tree", "prefix", F.col("a").alias("rep")).distinct()
-    ends = ends.coalesce(1).sortWithinPartitions("tree", "prefix", "rep").mapInPandas(_candidates, schema)
+    ends = mapped(ends.coalesce(1).sortWithinPartitions("tree", "prefix", "rep"), _candidates, schema)
     pairs = found.where("tree is null").unionByName(ends.where("tree is null")).select("a", "b").distinct()
     sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     pairs = pairs.join(sig_a, "a").join(sig_b, "b")
-    pairs = written(pairs.mapInPandas(_agreeing, "a long, b long, agree double"), "pairs")
+    pairs = written(mapped(pairs, _agreeing, "a long, b long, agree double"), "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, s array<long>").where("size(s) > 0"), "sets")
+    sets = written(mapped(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), _sets(k), "doc_id long, s array<long>").where("size(s) > 0"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
         x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.97
 
 
@@ -105,4 +107,4 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, count: str | None =
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     n = F.col(count) if count else F.when(F.col("text").isNull(), 0).otherwise(words)
     rows = docs.select("doc_id", F.coalesce(n.cast("long"), F.lit(0)).alias("n"))
-    return rows.mapInPandas(_packer(tuple(sorted(sizes))), "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long")
+    return mapped(rows, _packer(tuple(sorted(sizes))), "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long")

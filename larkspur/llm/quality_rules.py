@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import written
+from .common import mapped, written
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -121,13 +121,13 @@ def estimates(stats: DataFrame) -> DataFrame:
         moments = [F.sum(x) for x in STATS], [F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i in range(width) for j in range(i, width)]
         sums = close.groupBy("g").agg(F.count("*").alias("n"), *[c.alias(f"s{i}") for i, c in enumerate(moments[0])], *[c.alias(f"p{i}") for i, c in enumerate(moments[1])])
         sums = sums.select("g", "n", F.array(*[f"s{i}" for i in range(width)]).alias("s"), F.array(*[f"p{i}" for i in range(len(moments[1]))]).alias("p"))
-        now = sums.mapInPandas(_inverted(width), "g string, n long, mean array<double>, inverse array<double>")
+        now = mapped(sums, _inverted(width), "g string, n long, mean array<double>, inverse array<double>")
     return written(now, "estimate")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, the base counts, base_failed, distance, kept."""
-    counted = docs.select("doc_id", "text", "lang", "source").mapInPandas(_counted, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    counted = mapped(docs.select("doc_id", "text", "lang", "source"), _counted, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = counted.select("*", failed.alias("base_failed"), *[c.alias(x) for c, x in zip(statistics(), STATS, strict=True)])
     counted = written(counted, "counted")

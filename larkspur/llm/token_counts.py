@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 _READY: dict[str, "WholeTokens"] = {}
 
 
@@ -108,4 +110,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             tokens = counter.count(texts)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": tokens, "over_limit": [t > limit for t in tokens]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,7 +6,7 @@ probabilities of the links before it. In training those probabilities come out o
 predictions that an earlier link made for a row it was fitted on; the final links are fitted on all sampled rows.
 
 Defined results: null and empty texts have no words and are judged by the shape alone; documents without a label are judged
-like others; with no labelled rows every probability is one half or less and nothing is rejected; repeated rows count each.
+like others; with no labelled rows every probability is as good as nothing and no document is rejected; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened
+from .common import mapped, widened
 from .linear import SAMPLE, Features, logistic, sample, sigmoid
 
 CATEGORIES = ("noise", "toxic", "severe")
-FOLDS, REJECT, SEVERE_WORDS = 5, 0.5, 4
+FOLDS, REJECT, SEVERE_WORDS = 5, 0.35, 4
+#: Words count as features only if this share of the sampled texts that have them is of the category: clean words stay out.
+PRECISION = 0.8
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -46,19 +48,13 @@ class Chain:
 
 def severe(rows: pd.DataFrame, toxic: np.ndarray) -> np.ndarray:
     """1 where a toxic text has SEVERE_WORDS or more of the slots that at least nine toxic texts of ten carry them."""
-    marks = Features.choose(rows, [toxic], each=40).at
-    lists = [set(map(int, s)) & marks.keys() for s in rows["slots"]]
-    precise = set()
-    for m in marks:
-        has = np.array([m in s for s in lists])
-        if has.any() and toxic[has].mean() >= 0.9:
-            precise.add(m)
-    return np.array([t and len(s & precise) >= SEVERE_WORDS for s, t in zip(lists, toxic, strict=True)], float)
+    marks = Features.choose(rows, [toxic], each=40, precision=0.9).at.keys()
+    return np.array([t and len(marks & set(map(int, s))) >= SEVERE_WORDS for s, t in zip(rows["slots"], toxic, strict=True)], float)
 
 
 def fit_rows(rows: pd.DataFrame, targets: list[np.ndarray]) -> Chain:
     """rows(doc_id, slots, shape), one target of 0 and 1 for each category in the chain's order."""
-    features = Features.choose(rows, targets)
+    features = Features.choose(rows, targets, precision=PRECISION)
     x = features.of_rows(rows)
     fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 7) % FOLDS if len(rows) else np.zeros(0, int)
     earlier, weights = np.zeros((len(rows), 0)), []
@@ -100,7 +96,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                     out[f"p_{c}"] = p[:, i]
                 yield out
 
-    scored = docs.mapInPandas(run, schema)
+    scored = mapped(docs, run, schema)
     return scored.withColumn("rejected", F.col("p_toxic") >= REJECT)
 
 

@@ -23,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 SUPPORT, CONFIDENCE, TOKENS, PARTS, LEAST = 0.003, 0.6, 14, 3, 20
 _BAD = "bad"
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -69,7 +71,7 @@ def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confide
 
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
     joined = pages.select(F.col("page_id").alias("doc_id"), "url").join(marks, "doc_id").select("url", "bad")
-    rows = joined.mapInPandas(baskets, "items array<string>").where("size(items) > 0")
+    rows = mapped(joined, baskets, "items array<string>").where("size(items) > 0")
     n = rows.count()
     if n < LEAST:
         return []
@@ -111,7 +113,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) ->
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "mined_rule": [found.match(u) for u in b["url"]]})
 
-    rows = pages.select("page_id", "url").mapInPandas(run, "page_id long, url string, mined_rule string")
+    rows = mapped(pages.select("page_id", "url"), run, "page_id long, url string, mined_rule string")
     host, path = parsed(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), "mined_rule")
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
