@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 SLOTS = 1 << 22
-SAMPLE = 8000
+SAMPLE = 6000
 _WORD = re.compile(r"[^\W\d_]+")
 SHAPE = 7
 
@@ -52,7 +52,8 @@ def shape(text: str | None) -> list[float]:
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": [slots(t) for t in batch["text"]], "shape": [shape(t) for t in batch["text"]]})
+        packed = [np.array(slots(t), np.int32).tobytes() for t in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": packed, "shape": [shape(t) for t in batch["text"]]})
 
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], size: int = SAMPLE) -> pd.DataFrame:
@@ -60,9 +61,10 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], size: int = S
     labels = labels.select("doc_id", *columns).where("doc_id is not null").dropDuplicates(["doc_id"])
     chosen = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # size rows at most
-    rows = mapped(texts, _described, "doc_id long, slots array<int>, shape array<double>").toPandas()
+    rows = mapped(texts, _described, "doc_id long, slots binary, shape array<double>").toPandas()
+    rows["slots"] = [np.frombuffer(s, np.int32) for s in rows["slots"]]
     rows = rows.drop_duplicates("doc_id").merge(chosen.toPandas(), on="doc_id").sort_values("doc_id").reset_index(drop=True)
-    sketch = [tuple(sorted(s, key=lambda x: (x * 2654435761) & 0xFFFFFFFF)[:3]) or (-1 - i,) for i, s in enumerate(rows["slots"])]
+    sketch = [tuple(np.sort(s.astype(np.uint32) * np.uint32(2654435761))[:3]) or (-1 - i,) for i, s in enumerate(rows["slots"])]
     return rows[~pd.Series(sketch, dtype=object).duplicated()].reset_index(drop=True)
 
 
@@ -77,27 +79,26 @@ class Features:
     @classmethod
     def choose(cls, rows: pd.DataFrame, targets: list[np.ndarray], each: int = 200, least: int = 6, precision: float = 0.0) -> Features:
         """The slots of highest chi-square for each target, among those in `least` rows whose share of positives is `precision`."""
-        lists = [np.asarray(s, np.int64) for s in rows["slots"]]
-        n, all_slots = len(lists), np.concatenate([*lists, np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(n), [len(x) for x in lists])
-        distinct, back = np.unique(all_slots, return_inverse=True)
-        df = np.bincount(back, minlength=len(distinct)).astype(float)
+        n, every = len(rows), np.concatenate([np.zeros(0, np.int32), *rows["slots"]])
+        sizes = [len(s) for s in rows["slots"]]
+        df = np.bincount(every, minlength=SLOTS)
         chosen: dict[int, None] = {}
         for y in targets:
-            pos = np.bincount(back, weights=y[owner].astype(float), minlength=len(distinct)) if len(back) else df
-            share = y.mean() if n else 0
-            expected = df * share
-            chi = np.where((df >= least) & (pos >= precision * df), (pos - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
-            for i in np.lexsort((distinct, -chi))[:each]:
+            pos = np.bincount(every[np.repeat(y > 0, sizes)], minlength=SLOTS)
+            share = y.mean() if n else 0.0
+            able = np.flatnonzero((df >= least) & (pos >= precision * df))
+            expected = df[able] * share
+            chi = (pos[able] - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
+            for i in np.lexsort((able, -chi))[:each]:
                 if chi[i] > 15:
-                    chosen[int(distinct[i])] = None
+                    chosen[int(able[i])] = None
         return cls(list(chosen))
 
     def of_rows(self, rows: pd.DataFrame) -> np.ndarray:
         x = np.zeros((len(rows), self.width))
         for k, (s, v) in enumerate(zip(rows["slots"], rows["shape"], strict=True)):
-            for slot in s:
-                if (i := self.at.get(int(slot))) is not None:
+            for slot in s.tolist():
+                if (i := self.at.get(slot)) is not None:
                     x[k, i] = 1
             x[k, -SHAPE - 1 : -1] = v
         x[:, -1] = 1

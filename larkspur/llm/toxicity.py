@@ -48,8 +48,8 @@ class Chain:
 
 def severe(rows: pd.DataFrame, toxic: np.ndarray) -> np.ndarray:
     """1 where a toxic text has SEVERE_WORDS or more of the slots that at least nine toxic texts of ten carry them."""
-    marks = Features.choose(rows, [toxic], each=40, precision=0.9).at.keys()
-    return np.array([t and len(marks & set(map(int, s))) >= SEVERE_WORDS for s, t in zip(rows["slots"], toxic, strict=True)], float)
+    marks = np.array(list(Features.choose(rows, [toxic], each=40, precision=0.9).at), np.int32)
+    return np.array([t and np.isin(s, marks).sum() >= SEVERE_WORDS for s, t in zip(rows["slots"], toxic, strict=True)], float)
 
 
 def fit_rows(rows: pd.DataFrame, targets: list[np.ndarray]) -> Chain:
