@@ -108,12 +108,12 @@ class Features:
         x = np.zeros((len(texts), self.width))
         known = self._known
         for k, t in enumerate(texts):
-            for w in words(t):
-                found = known.get(w)
+            for piece in set((t or "").split()):
+                found = known.get(piece)
                 if found is None:
-                    found = [self.at[s] for s in slots_of(w) if s in self.at]
-                    if len(known) < 500_000:
-                        known[w] = found
+                    found = [self.at[s] for w in words(piece) for s in slots_of(w) if s in self.at]
+                    if len(known) < 300_000:
+                        known[piece] = found
                 for i in found:
                     x[k, i] = 1
             x[k, -SHAPE - 1 : -1] = shape(t)

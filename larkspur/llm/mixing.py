@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import mapped, widened, written
 from .linear import SAMPLE, Features, logistic, sample, sigmoid
 
-MU, STEPS = 1e-3, 25
+MU, STEPS = 1e-3, 25  # at most; fewer once no share moves by 1e-5
 #: Domains are quality and toxic labels together; shares of tokens wanted of each.
 TARGETS = {"good": 0.96, "low": 0.03, "good_toxic": 0.005, "low_toxic": 0.005}
 
@@ -94,10 +94,10 @@ def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float],
     x = natural * budget
     for _ in range(STEPS):
         g = (x - want) / natural
-        if np.abs(x - want).max() < 1e-6:
-            break
         gradients.append([round(float(v), 12) for v in g])
-        x = shares(_rate(gradients, budget))[1] / total
+        before, x = x, shares(_rate(gradients, budget))[1] / total
+        if np.abs(x - before).max() < 1e-5:
+            break
     return _rate(gradients, budget), x.tolist()
 
 
