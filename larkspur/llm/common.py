@@ -5,16 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..frame import mapped, shipped  # noqa: F401
+
 _LOCAL: list[str] = []
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,26 +51,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shipped(spark: SparkSession) -> None:
-    """Give this package to the executors (once for an application), so that it need not be installed there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
-
-
-def mapped(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
-    """mapInPandas with a function of this package."""
-    shipped(df.sparkSession)
-    return df.mapInPandas(function, schema)
-
-
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df and further columns, given by name and DDL type."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in columns.items())])
