@@ -1,4 +1,6 @@
 """Named queries and their SQL, gathered from one module for each family."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import boosted, estimators, measures, online, preparation, streams  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
