@@ -77,5 +77,5 @@ def cross_validate(df: DataFrame, key: str, features: Sequence[str], target: str
         held = folds[f]
         rss, n = float(v @ held @ v), held[0, 0]
         tss = held[-1, -1] - held[0, -1] ** 2 / n
-        out.append({"fold": int(f), "n": int(n), "mse": rss / n, "r2": 1 - rss / tss, "intercept": m.intercept, "coefficients": m.coefficients})
+        out.append({"fold": int(f), "n": int(n), "mse": float(rss / n), "r2": float(1 - rss / tss), "intercept": m.intercept, "coefficients": m.coefficients})
     return out

@@ -1 +1,60 @@
-"""."""
+"""Streaming queries: Parquet tables read as files of a stream, run over all that is available."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from .. import streaming as S
+from ..operators.folds import SGDRegressor
+from ..operators.linear import LinearModel
+from .registry import Tables, frame, query, rnd, rounded
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one that the session names, or a temporary one where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark, df, n: int) -> str:
+    path = _folder(spark, "stream")
+    df.repartition(n).write.parquet(path)
+    return path
+
+
+@query("stream_metrics", "SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0e0 AS mean FROM events WHERE value > 10 GROUP BY 1")
+def stream_metrics(spark, sf_dir):
+    source = S.file_stream(spark, _files(spark, Tables(spark, sf_dir).events, 4), 2)
+    out = _folder(spark, "sink")
+    S.collect_stream(S.staged(source, lambda d: d.where("value > 10"), lambda d: d.select("event_type", "value")), out, _folder(spark, "offsets"))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), rnd(F.avg("value")).alias("mean"))
+
+
+@query("stream_predict", "SELECT o_orderstatus, count(*) AS n, round(avg(2 + 0.5e0 * o_totalprice), 4) + 0.0e0 AS mean FROM orders GROUP BY 1")
+def stream_predict(spark, sf_dir):
+    source = S.file_stream(spark, _files(spark, Tables(spark, sf_dir).orders.select("o_orderstatus", "o_totalprice"), 3), 1)
+    out = _folder(spark, "sink")
+    S.collect_stream(S.predict_stream(source, LinearModel(("o_totalprice",), (0.5,), 2.0)), out, _folder(spark, "offsets"))
+    return spark.read.parquet(out).groupBy("o_orderstatus").agg(F.count("*").alias("n"), rnd(F.avg("prediction"), 4).alias("mean"))
+
+
+@query("stream_linreg", "SELECT count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0e0 AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0e0 AS slope FROM lineitem")
+def stream_linreg(spark, sf_dir):
+    source = S.file_stream(spark, _files(spark, Tables(spark, sf_dir).lineitem.select("l_quantity", "l_extendedprice"), 4), 1)
+    m = S.StreamingLinearRegression(["l_quantity"], "l_extendedprice").fit_stream(source, _folder(spark, "offsets"))
+    x = frame(spark, [(m.rows, m.model().intercept, m.model().coefficients[0])], "n long, intercept double, slope double")
+    return x.select("n", rnd("intercept", 3).alias("intercept"), rnd("slope", 4).alias("slope"))
+
+
+@query("stream_sgdr")
+def stream_sgdr(spark, sf_dir):
+    """Test-then-train error of each micro-batch."""
+    e = Tables(spark, sf_dir).events.select("user_id", "event_id", ((F.col("event_id") % 7) / F.lit(7.0)).alias("x"), (F.col("value") / 100).alias("y"))
+    e = e.withColumn("part", F.col("event_id") % 4)
+    path = _folder(spark, "stream")
+    e.repartition(4, "part").write.parquet(path)
+    s = S.StreamingSGD(SGDRegressor(eta0=0.05), ["x"], "y", "user_id", "event_id").fit_stream(S.file_stream(spark, path, 1), _folder(spark, "offsets"))
+    return rounded(frame(spark, [(i, n, float(v)) for i, (n, v) in enumerate(s.errors)], "batch int, n long, mse double"))
