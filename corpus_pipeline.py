@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from larkspur.llm.common import read, written
+from larkspur.llm.common import named, read, written
 
 
 def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    if "n_chars" not in like.columns:
-        return docs.select(*like.columns)
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*like.columns)
+    """The columns of like; n_chars follows the text."""
+    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in like.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; so do documents that had lines dropped and have no word left."""
     kept = line_dedup.keep_lines(docs)
-    kept = kept.where((F.col("n_dropped__") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = kept.where((F.col(kept.columns[-1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _measured(kept, docs)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str) -> F.Column:
+    """A column by its literal name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def everything(df: DataFrame) -> list[F.Column]:
+    return [named(c) for c in df.columns]
+
+
+def appended(df: DataFrame, inputs: list[str], function: Callable, rows: int = 512, **columns: str) -> DataFrame:
+    """df with further columns (name: DDL type): function gets a list of values for each input and returns a list for each column.
+
+    The other columns stay Arrow arrays, untouched: a null does not turn whole numbers into floats. The function sees `rows` rows
+    at a time, so that its memory does not depend on the size of Spark's batches.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = widened(df, **columns)
+    at = [df.columns.index(c) for c in inputs]
+    kinds = [to_arrow_type(schema[len(df.columns) + i].dataType) for i in range(len(columns))]
+    names = schema.names
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                b = whole.slice(k, rows)
+                made = function(*[b.column(i).to_pylist() for i in at])
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, t) for v, t in zip(made, kinds, strict=True)]], names=names)
+
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df and further columns, given by name and DDL type."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in columns.items())])

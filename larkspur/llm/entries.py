@@ -45,8 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.keep_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.withColumnsRenamed({"n_lines__": "n_lines", "n_dropped__": "n_dropped"})
+    return line_dedup.keep_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

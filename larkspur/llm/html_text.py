@@ -18,14 +18,12 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import appended
 
 PATH, WORDS, SHAPE, HIDDEN = 96, 32, 6, 16
 INPUT = PATH + WORDS + SHAPE
@@ -336,11 +334,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars (code points)."""
     model = trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.iloc[k : k + 256]
-                texts = extract(model, some["html"].tolist())
-                yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(htmls: list[str | None]) -> tuple[list, list]:
+        texts = extract(model, htmls)
+        return texts, [len(t) for t in texts]
 
-    return mapped(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+    return appended(pages.select("page_id", "url", "html"), ["html"], run, rows=256, text="string", n_chars="long").drop("html")

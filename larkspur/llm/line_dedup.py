@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import everything, fresh, named, written
 
 EXACT, FUZZY = 3, 8
 SPACE = r"[\x20\x09-\x0D]+"
@@ -124,17 +124,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs (any columns) with text stripped of its repeated lines, and n_lines__, n_dropped__ (long) beside it."""
-    gone = written(repeated_lines(docs).groupBy(F.col("d").alias("d__"), F.col("h").alias("h__")).agg(F.collect_list("line").alias("gone__")), "gone")
-    keyed = docs.withColumn("d__", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("h__", F.xxhash64("text"))
-    out = keyed.join(gone.hint("shuffle_hash"), ["d__", "h__"], "left")
+    """The rows of docs with text stripped of its repeated lines; two more columns, the last ones: n_lines and n_dropped (long).
+
+    Where docs has columns of these names, the new ones get an underscore.
+    """
+    d, h, gone, n_lines, n_dropped = fresh(docs, "d__", "h__", "gone__", "n_lines", "n_dropped")
+    drop = written(repeated_lines(docs).groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_list("line").alias(gone)), "gone")
+    keyed = docs.select(*everything(docs), F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias(d), F.xxhash64("text").alias(h))
+    out = keyed.join(drop.hint("shuffle_hash"), [d, h], "left")
     lines = F.split("text", "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    left = F.filter(lines, lambda t, i: ~F.array_contains("gone__", i))
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    dropped = F.when(F.col("gone__").isNull(), 0).otherwise(F.size("gone__")).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, n_lines.alias("n_lines__"), dropped.alias("n_dropped__"))
+    left = F.filter(lines, lambda t, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    columns = [text.alias(c) if c == "text" else named(c) for c in docs.columns]
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return out.select(*columns, size.alias(n_lines), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_dropped))
 
 
 SQL = r"""

@@ -15,14 +15,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import mapped, widened
+from .common import appended, fresh
 
 RATE = 8000
 
@@ -198,43 +196,39 @@ def payload_of(media: bytes) -> bytes:
 
 
 def sniffed(table: DataFrame, value: str, declared: str, carve: bool = False) -> DataFrame:
-    """The other columns of table with media_type (corrected), corrected, embedded: array of (offset, length, type, bytes).
+    """All columns of table with media_type (corrected), corrected, embedded: array of (offset, length, type, bytes).
 
-    bytes is null unless carve. The column value itself stays.
+    bytes is null unless carve. Where table has such names, the new ones get an underscore.
     """
-    schema = widened(table, media_type__="string", corrected__="boolean", embedded__="array<struct<offset:long,length:long,type:string,bytes:binary>>")
+    def run(values: list[bytes | None], said: list[str | None]) -> tuple[list, list, list]:
+        found = [sniff(v) for v in values]
+        whole = [f[0][2] if v and f and f[0][:2] == (0, len(v)) else None for v, f in zip(values, found, strict=True)]
+        inner = [[{"offset": o, "length": n, "type": t, "bytes": v[o : o + n] if carve else None} for o, n, t in f if not w] for v, f, w in zip(values, found, whole, strict=True)]
+        return [w or d for w, d in zip(whole, said, strict=True)], [bool(w) and w != d for w, d in zip(whole, said, strict=True)], inner
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.copy()
-            found = [sniff(v) for v in b[value]]
-            whole = [f[0][2] if v and f and f[0][:2] == (0, len(v)) else None for v, f in zip(b[value], found, strict=True)]
-            b["media_type__"] = [w or d for w, d in zip(whole, b[declared], strict=True)]
-            b["corrected__"] = [bool(w) and w != d for w, d in zip(whole, b[declared], strict=True)]
-            b["embedded__"] = [[{"offset": o, "length": n, "type": t, "bytes": v[o : o + n] if carve else None} for o, n, t in f if not w] for v, f, w in zip(b[value], found, whole, strict=True)]
-            yield b
-
-    return mapped(table, run, schema)
+    names = fresh(table, "media_type", "corrected", "embedded")
+    kinds = ("string", "boolean", "array<struct<offset:long,length:long,type:string,bytes:binary>>")
+    return appended(table, [value, declared], run, rows=64, **dict(zip(names, kinds, strict=True)))
 
 
 def text_media(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
     """docs(doc_id, text) -> the stored form's digest columns; each text is stored, sniffed, read back and described."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                media = store(raw + bytes(-len(raw) % 64 if raw else 64))
-                hits = sniff(media)
-                kind = hits[0][2] if hits and hits[0][:2] == (0, len(media)) else declared
-                back = payload_of(media)
-                inner = sniff(back)
-                samples = np.frombuffer(back, np.uint8)
-                level = samples.astype(np.int64) - 128
-                cross = int(np.count_nonzero(np.diff(np.signbit(level))))
-                feature = f"{kind};declared={declared};rate={RATE};samples={len(samples)};min={samples.min()};max={samples.max()};energy={int(level @ level)};crossings={cross};embedded={','.join(f'{t}@{o}+{n}' for o, n, t in inner)}"
-                rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": b["doc_id"].dtype})
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(texts: list[str | None]) -> list[list]:
+        rows = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            media = store(raw + bytes(-len(raw) % 64 if raw else 64))
+            hits = sniff(media)
+            kind = hits[0][2] if hits and hits[0][:2] == (0, len(media)) else declared
+            back = payload_of(media)
+            inner = sniff(back)
+            samples = np.frombuffer(back, np.uint8)
+            level = samples.astype(np.int64) - 128
+            cross = int(np.count_nonzero(np.diff(np.signbit(level))))
+            feature = f"{kind};declared={declared};rate={RATE};samples={len(samples)};min={samples.min()};max={samples.max()};energy={int(level @ level)};crossings={cross};embedded={','.join(f'{t}@{o}+{n}' for o, n, t in inner)}"
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return appended(docs.select("doc_id", "text"), ["text"], run, **kinds).drop("text")

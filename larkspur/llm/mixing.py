@@ -17,14 +17,12 @@ the budget; repeated rows get the same rate each; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, widened, written
+from .common import appended, everything, fresh, written
 from .linear import SAMPLE, Features, logistic, sample, sigmoid
 
 MU, STEPS = 1e-3, 25  # at most; fewer once no share moves by 1e-5
@@ -36,8 +34,8 @@ def _domain() -> F.Column:
     return F.concat(F.when(F.col("quality") == 1, "good").otherwise("low"), F.when(F.col("toxic") == 1, "_toxic").otherwise(""))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, targets: dict[str, float], size: int = SAMPLE) -> tuple[DataFrame, list[str]]:
-    """All columns of docs with n_tokens__ (words) and p__ (array of doubles, one for each domain returned)."""
+def posteriors(docs: DataFrame, labels: DataFrame, targets: dict[str, float], size: int = SAMPLE) -> tuple[DataFrame, list[str], list[str]]:
+    """All columns of docs with a count of words and an array of posteriors; the domains; the names of the two columns."""
     known = labels.where("quality is not null and toxic is not null").select("doc_id", _domain().alias("domain"))
     rows = sample(docs, known, ["domain"], size)
     domains = [d for d in targets if (rows["domain"] == d).any()]
@@ -46,37 +44,31 @@ def posteriors(docs: DataFrame, labels: DataFrame, targets: dict[str, float], si
     x = features.of_rows(rows)
     weights = np.stack([logistic(x, y) for y in ys], axis=1) if domains else np.zeros((features.width, 1))
     sent = docs.sparkSession.sparkContext.broadcast((list(features.at), weights))
-    columns = docs.columns
+    ready: list[Features] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, w = sent.value
-        f = Features(at)
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                out = batch.iloc[k : k + 512][columns].copy()
-                texts = out["text"].tolist()
-                p = sigmoid(f.of_texts(texts) @ w)
-                p = p / p.sum(axis=1, keepdims=True)
-                out["n_tokens__"] = [len((t or "").split()) for t in texts]
-                out["p__"] = [r.tolist() for r in np.round(p, 6)]
-                yield out
+    def run(texts: list[str | None]) -> tuple[list, list]:
+        if not ready:
+            ready.append(Features(sent.value[0]))
+        p = sigmoid(ready[0].of_texts(texts) @ sent.value[1])
+        return [len((t or "").split()) for t in texts], np.round(p / p.sum(axis=1, keepdims=True), 6).tolist()
 
-    return mapped(docs, run, widened(docs, n_tokens__="long", p__="array<double>")), domains or ["all"]
+    names = fresh(docs, "n_tokens__", "p__")
+    return appended(docs, ["text"], run, **dict(zip(names, ("long", "array<double>"), strict=True))), domains or ["all"], names
 
 
-def _rate(gradients: list[list[float]], budget: float) -> F.Column:
+def rate_of(gradients: list[list[float]], budget: float, p: str = "p__") -> F.Column:
     """The rate after the steps so far: r <- max(0, r - step * (g . p + MU (r - budget)))."""
     start = F.lit(float(budget))
     if not gradients:
         return start
     step = 1 / (1 + MU)
     steps = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in gradients])
-    dot = lambda g: F.aggregate(F.zip_with(g, F.col("p__"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    dot = lambda g: F.aggregate(F.zip_with(g, F.col(p), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return F.aggregate(steps, start, lambda r, g: F.greatest(F.lit(0.0), r - step * (dot(g) + MU * (r - budget))))
 
 
-def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float], budget: float = 1.0) -> tuple[F.Column, list[float]]:
-    """weighed(n_tokens__, p__) -> the rate as a column over it, and the shares that it reaches."""
+def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float], budget: float = 1.0) -> tuple[list[list[float]], list[float]]:
+    """weighed(n_tokens__, p__) -> the gradients of the steps (see rate_of), and the shares reached."""
     k = len(domains)
     want = np.array([targets.get(d, 1.0) for d in domains])
     want = want / want.sum() * budget
@@ -88,17 +80,17 @@ def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float],
 
     total, mass = shares(F.lit(1.0))
     if total <= 0:
-        return F.lit(float(budget)), [0.0] * k
+        return [], [0.0] * k
     natural = np.maximum(mass / total, 1e-6)
     gradients: list[list[float]] = []
     x = natural * budget
     for _ in range(STEPS):
         g = (x - want) / natural
         gradients.append([round(float(v), 12) for v in g])
-        before, x = x, shares(_rate(gradients, budget))[1] / total
+        before, x = x, shares(rate_of(gradients, budget))[1] / total
         if np.abs(x - before).max() < 1e-5:
             break
-    return _rate(gradients, budget), x.tolist()
+    return gradients, x.tolist()
 
 
 def copies(rate: F.Column, seed: int = 17) -> F.Column:
@@ -109,9 +101,9 @@ def copies(rate: F.Column, seed: int = 17) -> F.Column:
 def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, domain (the likeliest), rate, copies."""
     targets = targets or TARGETS
-    weighed, domains = posteriors(docs.select("doc_id", "text"), labels, targets)
+    weighed, domains, _ = posteriors(docs.select("doc_id", "text"), labels, targets)
     weighed = written(weighed.drop("text"), "weighed")
-    rate, _ = fit_rates(weighed, domains, targets, budget)
+    rate = rate_of(fit_rates(weighed, domains, targets, budget)[0], budget)
     best = F.get(F.array(*[F.lit(d) for d in domains]), F.array_position("p__", F.array_max("p__")).cast("int") - 1)
     rated = weighed.select("doc_id", F.col("n_tokens__").alias("n_tokens"), best.alias("domain"), F.round(rate, 6).alias("rate"))
     return rated.withColumn("copies", copies(F.col("rate")))
@@ -120,8 +112,10 @@ def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
     """The rows of docs, each as often as its copies say, with their columns."""
     targets = targets or TARGETS
-    weighed, domains = posteriors(docs, labels, targets)
+    weighed, domains, names = posteriors(docs, labels, targets)
     weighed = written(weighed, "weighed")
-    rate, _ = fit_rates(weighed, domains, targets, budget)
-    rated = weighed.withColumn("copies__", copies(F.round(rate, 6))).where("copies__ > 0")
-    return rated.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies__")))).select(*docs.columns)
+    plain = weighed.select(*[F.col(n).alias(to) for n, to in zip(names, ("n_tokens__", "p__"), strict=True)])
+    gradients, _ = fit_rates(plain, domains, targets, budget)
+    times, copy = fresh(weighed, "copies__", "copy__")
+    rated = weighed.withColumn(times, copies(F.round(rate_of(gradients, budget, names[1]), 6))).where(F.col(times) > 0)
+    return rated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*everything(docs))

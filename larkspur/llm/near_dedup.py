@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import components, mapped, parts, written
+from .common import appended, components, everything, mapped, parts, written
 
 TREES, DEPTH, MIN_DEPTH, NEAR = 16, 8, 2, 3
 N = TREES * DEPTH
@@ -59,24 +59,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sign(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, key, sig = [], [], []
-            for s in shingle_sets(batch["text"].tolist(), k):
-                n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "skey": key, "sig": sig})
+    def run(texts: list[str | None]) -> tuple[list, list, list]:
+        n, key, sig = [], [], []
+        for s in shingle_sets(texts, k):
+            n.append(len(s))
+            key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            sig.append(signature(s).tobytes() if len(s) else None)
+        return n, key, sig
 
     return run
 
 
 def _sets(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [x.view(np.int64) for x in shingle_sets(batch["text"].tolist(), k)]})
-
-    return run
+    return lambda texts: ([x.view(np.int64) for x in shingle_sets(texts, k)],)
 
 
 def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    signed = written(mapped(docs, _sign(k), "doc_id long, n_shingles long, skey binary, sig binary"), "signed")
+    signed = written(appended(docs, ["text"], _sign(k), n_shingles="long", skey="binary", sig="binary").drop("text"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     reps = written(real.groupBy("skey").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("copies")).select(F.col("x.doc_id").alias("rep"), "skey", F.col("x.sig").alias("sig")), "reps")
     orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, rep long")
@@ -171,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     pairs = written(mapped(pairs, _agreeing, "a long, b long, agree double"), "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(mapped(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), _sets(k), "doc_id long, s array<long>").where("size(s) > 0"), "sets")
+    sets = written(appended(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), ["text"], _sets(k), s="array<long>").drop("text").where("size(s) > 0"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
         x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
@@ -203,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """The documents without those that have an earlier near-duplicate in their component; all columns stay."""
     seen = near_duplicates(docs, percent, k).where("not kept").select("doc_id").distinct()
-    return docs.join(seen, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(seen, "doc_id", "left_anti").select(*everything(docs))
 
 
 SQL = r"""

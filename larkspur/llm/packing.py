@@ -18,12 +18,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import shipped
 
 SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.97
 
@@ -63,12 +63,16 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[tuple[int,
 
 def _packer(sizes: tuple[int, ...]):
     most = max(sizes)
+    kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("bin_size", pa.int64()), ("bin_offset", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds.types, strict=True)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name, made, pieces = context.partitionId() if context else 0, 0, []
 
-        def emit(last: bool) -> pd.DataFrame:
+        def emit(last: bool) -> pa.RecordBatch:
             nonlocal made, pieces
             rows, back = [], []
             for size, members in pack([p[3] for p in pieces], sizes):
@@ -82,20 +86,19 @@ def _packer(sizes: tuple[int, ...]):
                     at += pieces[i][3]
                 made += 1
             pieces = [pieces[i] for i in back]
-            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_size", "bin_offset"]).astype({"doc_id": "Int64"})
+            return table(rows)
 
         for batch in batches:
             blank = []
-            for doc, n in zip(batch["doc_id"], batch["n"], strict=True):
-                doc = None if pd.isna(doc) else int(doc)
+            for doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not n:
                     blank.append((doc, 0, 0, 0, None, None, None))
-                for piece, start in enumerate(range(0, int(n), most)):
-                    pieces.append((doc, piece, start, min(most, int(n) - start)))
+                for piece, start in enumerate(range(0, n, most)):
+                    pieces.append((doc, piece, start, min(most, n - start)))
                     if len(pieces) >= WINDOW:
                         yield emit(False)
             if blank:
-                yield pd.DataFrame(blank, columns=["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_size", "bin_offset"]).astype({"doc_id": "Int64", "bin_size": "Int64", "bin_offset": "Int64"})
+                yield table(blank)
         if pieces:
             yield emit(True)
 
@@ -107,4 +110,5 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, count: str | None =
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     n = F.col(count) if count else F.when(F.col("text").isNull(), 0).otherwise(words)
     rows = docs.select("doc_id", F.coalesce(n.cast("long"), F.lit(0)).alias("n"))
-    return mapped(rows, _packer(tuple(sorted(sizes))), "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long")
+    shipped(docs.sparkSession)
+    return rows.mapInArrow(_packer(tuple(sorted(sizes))), "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import mapped, written
+from .common import appended, mapped, written
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -59,13 +59,9 @@ def base_counts(texts: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            texts = batch["text"].tolist()
-            out = base_counts(texts)
-            out["n_lines"] = [(t or "").count("\n") + 1 for t in texts]
-            yield pd.concat([batch[["doc_id", "lang", "source"]].reset_index(drop=True), out], axis=1)
+def _counted(texts: list[str | None]) -> list[list[int]]:
+    out = base_counts(texts)
+    return [*(out[c].tolist() for c in out.columns), [(t or "").count("\n") + 1 for t in texts]]
 
 
 def statistics() -> list[Column]:
@@ -127,7 +123,7 @@ def estimates(stats: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, the base counts, base_failed, distance, kept."""
-    counted = mapped(docs.select("doc_id", "text", "lang", "source"), _counted, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    counted = appended(docs.select("doc_id", "lang", "source", "text"), ["text"], _counted, **dict.fromkeys(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"], "long")).drop("text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = counted.select("*", failed.alias("base_failed"), *[c.alias(x) for c, x in zip(statistics(), STATS, strict=True)])
     counted = written(counted, "counted")

@@ -14,14 +14,13 @@ Defined results: null and empty texts have no bytes and no tokens; an empty tabl
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import appended
 
 _READY: dict[str, "WholeTokens"] = {}
 
@@ -98,16 +97,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((spec, proven))
     name = path
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+    def run(texts: list[str | None]) -> tuple[list, list, list]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if name not in _READY:
             _READY[name] = WholeTokens(*sent.value)
-        counter = _READY[name]
-        for batch in batches:
-            texts = batch["text"].tolist()
-            tokens = counter.count(texts)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": tokens, "over_limit": [t > limit for t in tokens]})
+        tokens = _READY[name].count(texts)
+        return [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], tokens, [t > limit for t in tokens]
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return appended(docs.select("doc_id", "text"), ["text"], run, n_bytes="long", n_tokens="long", over_limit="boolean").drop("text")

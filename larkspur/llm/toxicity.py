@@ -11,14 +11,12 @@ like others; with no labelled rows every probability is as good as nothing and n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, widened
+from .common import appended, everything, fresh
 from .linear import SAMPLE, Features, logistic, sample, sigmoid
 
 CATEGORIES = ("noise", "toxic", "severe")
@@ -78,33 +76,27 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
     return fit_rows(rows, [(rows["quality"].to_numpy() == 0).astype(float), toxic, severe(rows, toxic)])
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """All columns of docs, with p_noise, p_toxic, p_severe and rejected (p_toxic of REJECT or more)."""
-    sent = docs.sparkSession.sparkContext.broadcast((chain.features.at, chain.weights))
-    columns = docs.columns
-    schema = widened(docs, **{f"p_{c}": "double" for c in CATEGORIES})
+def score(docs: DataFrame, chain: Chain) -> tuple[DataFrame, list[str]]:
+    """All columns of docs and a probability for each category; and the names of those columns."""
+    sent = docs.sparkSession.sparkContext.broadcast((list(chain.features.at), chain.weights))
+    ready: list[Chain] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, weights = sent.value
-        model = Chain(Features(list(at)), weights)
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
-                p = np.round(model.predict(part["text"].tolist()), 6)
-                out = part[columns].copy()
-                for i, c in enumerate(CATEGORIES):
-                    out[f"p_{c}"] = p[:, i]
-                yield out
+    def run(texts: list[str | None]) -> list[list[float]]:
+        if not ready:
+            ready.append(Chain(Features(sent.value[0]), sent.value[1]))
+        return np.round(ready[0].predict(texts), 6).T.tolist()
 
-    scored = mapped(docs, run, schema)
-    return scored.withColumn("rejected", F.col("p_toxic") >= REJECT)
+    names = fresh(docs, *[f"p_{c}" for c in CATEGORIES])
+    return appended(docs, ["text"], run, **dict.fromkeys(names, "double")), names
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, p_noise, p_toxic, p_severe, rejected."""
-    return score(docs.select("doc_id", "text"), fit(docs, labels, size)).drop("text")
+    """doc_id, p_noise, p_toxic, p_severe, rejected (p_toxic of REJECT or more)."""
+    scored, _ = score(docs.select("doc_id", "text"), fit(docs, labels, size))
+    return scored.drop("text").withColumn("rejected", F.col("p_toxic") >= REJECT)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The rows of docs that are not rejected, with their columns."""
-    return score(docs, fit(docs, labels, size)).where(~F.col("rejected")).select(*docs.columns)
+    scored, names = score(docs, fit(docs, labels, size))
+    return scored.where(F.col(names[CATEGORIES.index("toxic")]) < REJECT).select(*everything(docs))

@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import appended, mapped
 
 SUPPORT, CONFIDENCE, TOKENS, PARTS, LEAST = 0.003, 0.6, 14, 3, 20
 _BAD = "bad"
@@ -108,12 +108,14 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) ->
     """pages(page_id, url) -> page_id, host, path, rule, verdict, mined_rule. rules: (host/path, 'allow' or 'block')."""
     index = pages.sparkSession.sparkContext.broadcast(mined(pages, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = Index(index.value)
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "mined_rule": [found.match(u) for u in b["url"]]})
+    ready: list[Index] = []
+
+    def run(urls: list[str | None]) -> tuple[list]:
+        if not ready:
+            ready.append(Index(index.value))
+        return ([ready[0].match(u) for u in urls],)
 
-    rows = mapped(pages.select("page_id", "url"), run, "page_id long, url string, mined_rule string")
+    rows = appended(pages.select("page_id", "url"), ["url"], run, rows=4096, mined_rule="string")
     host, path = parsed(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), "mined_rule")
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
