@@ -5,7 +5,8 @@ DEPTH values, dealt out by range partitions, so that no order, prefix or group o
 are neighbours in an order with the longest common prefixes, and the leader of each region. A region is a run of sets with a
 common prefix; its depth adapts: sparse regions end at MIN_DEPTH, crowded ones are cut at every greater depth as well, and
 each cut has its own leader, found by following the most common value at each depth (this leads to the text that copies
-were made from). Links are confirmed on the full shingle sets.
+were made from, or one much like it). Links are confirmed on the full shingle sets. Sets that were candidates of a component's
+members but are not linked to them are then held against the component's centres as well, until that links nothing more.
 
 Defined results: null or blank text and empty tables give empty sets, linked with nothing; a null doc_id is linked with
 nothing and stands for itself (component null, kept); rows that repeat a doc_id count as one document for linking; other
@@ -80,7 +81,8 @@ def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         sig = np.frombuffer(b"".join(batch["sig"]), np.uint8).reshape(len(batch), TREES, 2 * DEPTH)
         for t in range(TREES):
-            yield pd.DataFrame({"tree": t, "prefix": [x.tobytes() for x in sig[:, t]], "rep": batch["rep"]})
+            tie = textkit.mix(batch["rep"].to_numpy(np.int64).view(np.uint64) * np.uint64(TREES) + np.uint64(t)).view(np.int64)
+            yield pd.DataFrame({"tree": t, "prefix": [x.tobytes() for x in sig[:, t]], "tie": tie, "rep": batch["rep"]})
 
 
 def neighbours(tree: np.ndarray, prefix: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +132,9 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     prefix = np.frombuffer(b"".join(whole["prefix"]), ">u2").reshape(len(whole), DEPTH)
     a, b = neighbours(tree, prefix, rep)
     for i in range(0, len(a), 100_000):
-        yield pd.DataFrame({"a": a[i : i + 100_000], "b": b[i : i + 100_000], "tree": None, "prefix": None})
+        yield pd.DataFrame({"a": a[i : i + 100_000], "b": b[i : i + 100_000], "tree": None, "prefix": None, "tie": None})
     ends = sorted({*range(min(NEAR, len(whole))), *range(max(0, len(whole) - NEAR), len(whole))})
-    yield pd.DataFrame({"a": rep[ends], "b": None, "tree": tree[ends], "prefix": whole["prefix"].iloc[ends].tolist()})
+    yield pd.DataFrame({"a": rep[ends], "b": None, "tree": tree[ends], "prefix": whole["prefix"].iloc[ends].tolist(), "tie": whole["tie"].to_numpy()[ends]})
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,6 +145,37 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[["a", "b", "agree"]][batch["agree"] >= AGREE]
 
 
+def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each value stands at each place of the signatures of a component's members."""
+    for batch in batches:
+        if len(batch):
+            sig = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(len(batch), N)
+            long = pd.DataFrame({"root": np.repeat(batch["root"].to_numpy(), N), "place": np.tile(np.arange(N, dtype=np.int32), len(batch)), "value": sig.ravel().astype(np.int32)})
+            yield long.value_counts(sort=False).reset_index(name="votes")
+
+
+def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            sig = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(len(batch), N)
+            batch["agree"] = (sig == np.array(batch["typical"].tolist())).mean(axis=1)
+            yield batch[["root", "rep", "agree"]]
+
+
+def _centres(roots: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """root, centre: of each wanted component the members whose signatures agree best with the most common value at each place.
+
+    The members are dealt into three lots, each of which gives its best. All steps are grouped sums and maxima.
+    """
+    of = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(wanted, "root", "left_semi")
+    members = written(of.join(reps.select(F.col("rep").alias("node"), "sig"), "node").select("root", F.col("node").alias("rep"), "sig"), "members")
+    votes = mapped(members.select("root", "sig"), _votes, "root long, place int, value int, votes long")
+    common = votes.groupBy("root", "place", "value").agg(F.sum("votes").alias("votes")).groupBy("root", "place").agg(F.max(F.struct("votes", "value")).alias("x"))
+    typical = common.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "x.value"))).alias("t")).select("root", F.col("t.value").alias("typical"))
+    close = mapped(members.join(typical, "root"), _agreement, "root long, rep long, agree double")
+    return close.groupBy("root", F.pmod(F.xxhash64("rep"), F.lit(3)).alias("lot")).agg(F.max_by("rep", F.struct("agree", (-F.col("rep")).alias("r"))).alias("centre")).select("root", "centre")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """docs(doc_id long, text string) -> doc_id, n_shingles, component_id, kept.
 
@@ -154,12 +187,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     signed = written(appended(docs, ["text"], _sign(k), n_shingles="long", skey="binary", sig="binary").drop("text"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     reps = written(real.groupBy("skey").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("copies")).select(F.col("x.doc_id").alias("rep"), "skey", F.col("x.sig").alias("sig")), "reps")
-    orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, rep long")
-    orders = orders.repartitionByRange(parts(spark), "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
-    schema = "a long, b long, tree int, prefix binary"
+    orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, tie long, rep long")
+    order = ("tree", "prefix", "tie")
+    orders = orders.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    schema = "a long, b long, tree int, prefix binary, tie long"
     found = written(mapped(orders, _candidates, schema), "candidates")
-    ends = found.where("tree is not null").select("tree", "prefix", F.col("a").alias("rep")).distinct()
-    ends = mapped(ends.coalesce(1).sortWithinPartitions("tree", "prefix", "rep"), _candidates, schema)
+    ends = found.where("tree is not null").select(*order, F.col("a").alias("rep")).distinct()
+    ends = mapped(ends.coalesce(1).sortWithinPartitions(*order), _candidates, schema)
     pairs = found.where("tree is null").unionByName(ends.where("tree is null")).select("a", "b").distinct()
     sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     pairs = pairs.join(sig_a, "a").join(sig_b, "b")
@@ -184,9 +218,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     def rooted(column: str, to: str, rows: DataFrame) -> DataFrame:
         return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
-    rest = rooted("b", "rb", rooted("a", "ra", pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))).where("ra <> rb")
-    more = written(confirmed(rest), "more")
-    roots = written(components(links.unionByName(more)), "roots")
+    tried, rest = best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    while True:
+        rest = written(rooted("b", "rb", rooted("a", "ra", rest)).where("ra <> rb").select("a", "b"), "rest")
+        if rest.isEmpty():
+            break
+        more = written(confirmed(rest), "more")
+        links, tried = links.unionByName(more), tried.unionByName(rest)
+        if not more.isEmpty():
+            roots = written(components(links), "roots")
+        # What a component's neighbours missed by a little they may reach from its centre.
+        across = rooted("b", "rb", rooted("a", "ra", pairs.select("a", "b"))).where("ra <> rb")
+        across = across.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("rb").alias("root")), F.struct(F.col("b").alias("x"), F.col("ra").alias("root")))).alias("p")).select("p.*").distinct()
+        new = written(across, "across").join(_centres(roots, reps, across.select("root").distinct()), "root").where("x <> centre")
+        rest = new.select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     classes = rooted("rep", "component_id", reps.select("rep", "skey")).select("skey", "component_id")
     # Rows that repeat a doc_id are one document: the smallest component that any of them is in.
     linked = real.select("doc_id", "skey").join(classes, "skey").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
