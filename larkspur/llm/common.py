@@ -81,9 +81,10 @@ def appended(df: DataFrame, inputs: list[str], function: Callable, rows: int = 5
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = widened(df, **columns)
     at = [df.columns.index(c) for c in inputs]
-    kinds = [to_arrow_type(schema[len(df.columns) + i].dataType) for i in range(len(columns))]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots cannot pass mapInArrow
+    schema = widened(plain, **{f"m{i}": kind for i, kind in enumerate(columns.values())})
+    kinds = [to_arrow_type(schema[f"m{i}"].dataType) for i in range(len(columns))]
     names = schema.names
 
     def run(batches):
@@ -94,7 +95,7 @@ def appended(df: DataFrame, inputs: list[str], function: Callable, rows: int = 5
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, t) for v, t in zip(made, kinds, strict=True)]], names=names)
 
     shipped(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *columns)
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:

@@ -120,7 +120,7 @@ def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
             i = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
             x[k, PATH + i % WORDS] += 0.3 if i >> 31 else -0.3
         n = len(words)
-        x[k, PATH + WORDS :] = (np.log1p(n) / 4, len(text) / (n * 10.0), text.count("|") > 0, text[-1] in ".!?…:", "©" in text or "http" in text, 1.0)
+        x[k, PATH + WORDS :] = (np.log1p(min(n, 100)) / 4, min(len(text) / (n * 10.0), 2.0), text.count("|") > 0, text[-1] in ".!?…:", "©" in text or "http" in text, 1.0)
     return x
 
 

@@ -131,7 +131,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, steps: int = 25
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     if not len(y) or y.min() == y.max():
-        w[-1] = 0.0 if not len(y) else (8.0 if y[0] else -8.0)
+        w[-1] = 8.0 if len(y) and y[0] else -8.0
         return w
 
     def loss(v: np.ndarray) -> float:

@@ -94,13 +94,15 @@ def _bmp(b: bytes, at: int) -> int | None:
 
 def _jpeg(b: bytes, at: int) -> int | None:
     k, frame = at + 2, False
-    while k + 4 <= len(b) and b[k] == 0xFF:
+    while k + 2 <= len(b) and b[k] == 0xFF:
         kind = b[k + 1]
         if kind == 0xFF:
             k += 1
             continue
         if kind == 0xD9:
             return k + 2 if frame else None
+        if k + 4 > len(b):
+            return None
         size = struct.unpack_from(">H", b, k + 2)[0]
         if size < 2:
             return None
