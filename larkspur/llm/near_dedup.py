@@ -145,21 +145,27 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[["a", "b", "agree"]][batch["agree"] >= AGREE]
 
 
+def _signatures(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Some rows at a time and their signatures as an array."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            part = batch.iloc[k : k + rows]
+            yield part, np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), N)
+
+
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How often each value stands at each place of the signatures of a component's members."""
-    for batch in batches:
-        if len(batch):
-            sig = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(len(batch), N)
-            long = pd.DataFrame({"root": np.repeat(batch["root"].to_numpy(), N), "place": np.tile(np.arange(N, dtype=np.int32), len(batch)), "value": sig.ravel().astype(np.int32)})
-            yield long.value_counts(sort=False).reset_index(name="votes")
+    place = np.arange(N, dtype=np.int64) << 16
+    for part, sig in _signatures(batches):
+        roots, of = np.unique(part["root"].to_numpy(), return_inverse=True)
+        keys, votes = np.unique((of.astype(np.int64)[:, None] << 32) | place | sig, return_counts=True)
+        yield pd.DataFrame({"root": roots[keys >> 32], "place": (keys >> 16 & 0xFFFF).astype(np.int32), "value": (keys & 0xFFFF).astype(np.int32), "votes": votes})
 
 
 def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            sig = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(len(batch), N)
-            batch["agree"] = (sig == np.array(batch["typical"].tolist())).mean(axis=1)
-            yield batch[["root", "rep", "agree"]]
+    for part, sig in _signatures(batches):
+        typical = np.stack([np.asarray(t, np.uint16) for t in part["typical"]])
+        yield pd.DataFrame({"root": part["root"], "rep": part["rep"], "agree": (sig == typical).mean(axis=1)})
 
 
 def _centres(roots: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
