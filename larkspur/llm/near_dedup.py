@@ -81,8 +81,7 @@ def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         sig = np.frombuffer(b"".join(batch["sig"]), np.uint8).reshape(len(batch), TREES, 2 * DEPTH)
         for t in range(TREES):
-            tie = textkit.mix(batch["rep"].to_numpy(np.int64).view(np.uint64) * np.uint64(TREES) + np.uint64(t)).view(np.int64)
-            yield pd.DataFrame({"tree": t, "prefix": [x.tobytes() for x in sig[:, t]], "tie": tie, "rep": batch["rep"]})
+            yield pd.DataFrame({"tree": t, "prefix": [x.tobytes() for x in sig[:, t]], "rep": batch["rep"]})
 
 
 def neighbours(tree: np.ndarray, prefix: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +131,9 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     prefix = np.frombuffer(b"".join(whole["prefix"]), ">u2").reshape(len(whole), DEPTH)
     a, b = neighbours(tree, prefix, rep)
     for i in range(0, len(a), 100_000):
-        yield pd.DataFrame({"a": a[i : i + 100_000], "b": b[i : i + 100_000], "tree": None, "prefix": None, "tie": None})
+        yield pd.DataFrame({"a": a[i : i + 100_000], "b": b[i : i + 100_000], "tree": None, "prefix": None})
     ends = sorted({*range(min(NEAR, len(whole))), *range(max(0, len(whole) - NEAR), len(whole))})
-    yield pd.DataFrame({"a": rep[ends], "b": None, "tree": tree[ends], "prefix": whole["prefix"].iloc[ends].tolist(), "tie": whole["tie"].to_numpy()[ends]})
+    yield pd.DataFrame({"a": rep[ends], "b": None, "tree": tree[ends], "prefix": whole["prefix"].iloc[ends].tolist()})
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,12 +192,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     signed = written(appended(docs, ["text"], _sign(k), n_shingles="long", skey="binary", sig="binary").drop("text"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     reps = written(real.groupBy("skey").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("copies")).select(F.col("x.doc_id").alias("rep"), "skey", F.col("x.sig").alias("sig")), "reps")
-    orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, tie long, rep long")
-    order = ("tree", "prefix", "tie")
+    orders = mapped(reps.select("rep", "sig"), _orders, "tree int, prefix binary, rep long")
+    # ties go by rep, so that equal prefixes give the same neighbours in every tree
+    order = ("tree", "prefix", "rep")
     orders = orders.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    schema = "a long, b long, tree int, prefix binary, tie long"
+    schema = "a long, b long, tree int, prefix binary"
     found = written(mapped(orders, _candidates, schema), "candidates")
-    ends = found.where("tree is not null").select(*order, F.col("a").alias("rep")).distinct()
+    ends = found.where("tree is not null").select("tree", "prefix", F.col("a").alias("rep")).distinct()
     ends = mapped(ends.coalesce(1).sortWithinPartitions(*order), _candidates, schema)
     pairs = found.where("tree is null").unionByName(ends.where("tree is null")).select("a", "b").distinct()
     sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
