@@ -224,7 +224,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     def rooted(column: str, to: str, rows: DataFrame) -> DataFrame:
         return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
-    tried, rest = best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    def across(rows: DataFrame) -> DataFrame:
+        return written(rooted("b", "rb", rooted("a", "ra", rows.select("a", "b"))).where("ra <> rb"), "across")
+
+    apart = across(pairs)  # only these are looked at again
+    tried, rest = best, apart.select("a", "b").join(best, ["a", "b"], "left_anti")
     while True:
         rest = written(rooted("b", "rb", rooted("a", "ra", rest)).where("ra <> rb").select("a", "b"), "rest")
         if rest.isEmpty():
@@ -234,9 +238,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         if not more.isEmpty():
             roots = written(components(links), "roots")
         # What a component's neighbours missed by a little they may reach from its centre.
-        across = rooted("b", "rb", rooted("a", "ra", pairs.select("a", "b"))).where("ra <> rb")
-        across = across.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("rb").alias("root")), F.struct(F.col("b").alias("x"), F.col("ra").alias("root")))).alias("p")).select("p.*").distinct()
-        new = written(across, "across").join(_centres(roots, reps, across.select("root").distinct()), "root").where("x <> centre")
+        apart = across(apart)
+        sides = F.array(F.struct(F.col("a").alias("x"), F.col("rb").alias("root")), F.struct(F.col("b").alias("x"), F.col("ra").alias("root")))
+        near = apart.select(F.explode(sides).alias("p")).select("p.*").distinct()
+        new = near.join(_centres(roots, reps, near.select("root").distinct()), "root").where("x <> centre")
         rest = new.select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     classes = rooted("rep", "component_id", reps.select("rep", "skey")).select("skey", "component_id")
     # Rows that repeat a doc_id are one document: the smallest component that any of them is in.
