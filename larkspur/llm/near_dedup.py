@@ -8,6 +8,13 @@ each cut has its own leader, found by following the most common value at each de
 were made from, or one much like it). Links are confirmed on the full shingle sets. Sets that were candidates of a component's
 members but are not linked to them are then held against the component's centres as well, until that links nothing more.
 
+Neighbours, leaders and centres do not see all pairs of a crowded region. Sets of regions that have more rows than the
+neighbours looked at and more than one component by then are joined exactly by prefix filtering: shingles in order of their
+frequency (rarest first, by a sketch, then by hash); a pair that fits shares one of the first shingles of both, at places that
+leave enough to share, and in one of the two that is among its first (100 - percent) / (100 + percent). Pairs of one component
+are not made. Nothing is capped: the pairs to confirm grow with the square of a group whose members share such shingles and
+are yet in different components.
+
 Defined results: null or blank text and empty tables give empty sets, linked with nothing; a null doc_id is linked with
 nothing and stands for itself (component null, kept); rows that repeat a doc_id count as one document for linking; other
 columns are ignored, so their names cannot clash.
@@ -31,6 +38,8 @@ N = TREES * DEPTH
 #: Pairs whose signatures agree in fewer of the N values are not held against the full sets: at a similarity of 0.8 this
 #: loses a pair with a probability below 1e-6 a pair.
 AGREE = 0.58
+#: Counters of the frequency sketch. Any order of shingles gives the same pairs; a good one makes few candidates.
+SKETCH = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(97))
 _A = _RNG.integers(1, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, N, dtype=np.uint64)
@@ -181,6 +190,79 @@ def _centres(roots: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     return close.groupBy("root", F.pmod(F.xxhash64("rep"), F.lit(3)).alias("lot")).agg(F.max_by("rep", F.struct("agree", (-F.col("rep")).alias("r"))).alias("centre")).select("root", "centre")
 
 
+def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key for each tree's region of MIN_DEPTH values that a set is in."""
+    for part, sig in _signatures(batches):
+        first = sig.reshape(len(part), TREES, DEPTH)[:, :, :MIN_DEPTH].astype(np.int64)
+        key = np.tile(np.arange(TREES, dtype=np.int64), (len(part), 1))
+        for d in range(MIN_DEPTH):
+            key = key << 16 | first[:, :, d]
+        yield pd.DataFrame({"region": key.ravel(), "rep": np.repeat(part["rep"].to_numpy(), TREES), "root": np.repeat(part["root"].to_numpy(), TREES)})
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for s in batch["s"]:
+            np.add.at(counts, np.asarray(s).view(np.uint64) % np.uint64(SKETCH), 1)
+    at = np.flatnonzero(counts)
+    for i in range(0, len(at), 100_000):
+        yield pd.DataFrame({"bucket": at[i : i + 100_000], "n": counts[at[i : i + 100_000]]})
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"at": [batch["bucket"].to_numpy(np.uint32).tobytes()], "n": [np.minimum(batch["n"], 0xFFFFFFFF).to_numpy(np.uint32).tobytes()]})
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in order of frequency, as far as a partner can need them, and which are in the short prefix.
+
+    With n shingles, the one at place i leaves n - i: a partner of m needs (n - i) * (100 + percent) >= percent * (n + m), at best
+    with the smallest m, n * percent / 100. Added up for both partners this holds with 2 * percent * n in one of them at least.
+    """
+    n = len(s)
+    s = s[np.lexsort((s, counts[s.view(np.uint64) % np.uint64(SKETCH)]))]
+    left = n - np.arange(n)
+    s = s[left * 100 >= percent * n]
+    return s, left[: len(s)] * (100 + percent) >= 2 * percent * n
+
+
+def _prefixes(counts, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                out = []
+                for rep, root, s in zip(*(batch[c].iloc[k : k + 256] for c in ("rep", "root", "s")), strict=True):
+                    g, short = prefix(np.asarray(s), counts.value, percent)
+                    out.append(pd.DataFrame({"g": g, "rep": rep, "root": root, "n": len(s), "left": len(s) - np.arange(len(g)), "short": short}))
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _exact(docs: DataFrame, rooted: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, pairs a, b) of crowded regions' sets in different components that may fit. rooted: rep, sig, root."""
+    spark = docs.sparkSession
+    regions = written(mapped(rooted, _regions, "region long, rep long, root long"), "regions")
+    mixed = regions.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"rows > {NEAR + 1} and x <> y").select("region")
+    crowded = regions.join(mixed.hint("merge"), "region").select("rep", "root").distinct()
+    wanted = docs.join(crowded.select(F.col("rep").alias("doc_id"), "root").hint("shuffle_hash"), "doc_id")
+    sets = written(appended(wanted, ["text"], _sets(k), s="array<long>").select(F.col("doc_id").alias("rep"), "root", "s").where("size(s) > 0"), "crowded")
+    counts = np.zeros(SKETCH, np.uint32)
+    held = mapped(sets.select("s"), _sketched, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in mapped(held, _packed, "at binary, n binary").toLocalIterator():  # 8 bytes for each of SKETCH counters
+        counts[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.uint32)
+    posts = written(mapped(sets, _prefixes(spark.sparkContext.broadcast(counts), percent), "g long, rep long, root long, n int, left int, short boolean"), "posts")
+    meet = posts.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("short").alias("any")).where("x <> y and any").select("g")
+    posts = written(posts.join(meet.hint("merge"), "g"), "posts")
+    x, y = (posts.toDF("g", *(f"{c}_{side}" for c in posts.columns[1:])) for side in "xy")
+    enough = " and ".join(f"left_{side} * {100 + percent}L >= {percent}L * (n_x + n_y)" for side in "xy")
+    both = x.where("short_x").join(y.hint("merge"), "g").where(f"root_x <> root_y and (not short_y or rep_x < rep_y) and {enough}")
+    pairs = both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    return sets.select(F.col("rep").alias("doc_id"), "s"), written(pairs, "exact")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """docs(doc_id long, text string) -> doc_id, n_shingles, component_id, kept.
 
@@ -208,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(appended(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), ["text"], _sets(k), s="array<long>").drop("text").where("size(s) > 0"), "sets")
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame, sets: DataFrame = sets) -> DataFrame:
         x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
         x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -243,6 +325,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         near = apart.select(F.explode(sides).alias("p")).select("p.*").distinct()
         new = near.join(_centres(roots, reps, near.select("root").distinct()), "root").where("x <> centre")
         rest = new.select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    crowd, rest = _exact(docs, rooted("rep", "root", reps.select("rep", "sig")), percent, k)
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    more = written(confirmed(rest, crowd), "more")
+    if not more.isEmpty():
+        roots = written(components(links.unionByName(more)), "roots")
     classes = rooted("rep", "component_id", reps.select("rep", "skey")).select("skey", "component_id")
     # Rows that repeat a doc_id are one document: the smallest component that any of them is in.
     linked = real.select("doc_id", "skey").join(classes, "skey").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

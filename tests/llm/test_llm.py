@@ -96,6 +96,22 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(got[i]["n_shingles"] == len(brute_sets(t)) and got[i]["kept"] == (want[i] == i) for i, t in rows)
 
 
+def test_near_duplicates_in_a_crowded_template(spark):
+    n, planted, own, same = 2400, 200, 24, 4  # all share a template to just below 80 %; the planted ones repeat some own words of another
+    shared = [f"t{i}" for i in range(180)]
+    rows = [shared + [f"d{i}x{j}" for j in range(own)] for i in range(n)]
+    rows += [w[: 180 + same] + [f"p{i}x{j}" for j in range(own - same)] for i, w in enumerate(rows[:planted])]
+    sets = [brute_sets(" ".join(w)) for w in (rows[0], rows[1], rows[n])]
+    near, far = (len(sets[0] & x) / len(sets[0] | x) for x in (sets[2], sets[1]))
+    assert near >= 0.8 > far
+    order = random.Random(5).sample(range(len(rows)), len(rows))  # numbers that do not tell who belongs together
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, [(order[i], " ".join(w)) for i, w in enumerate(rows)]), 80).collect()}
+    want = {i: i for i in order}
+    for i in range(planted):
+        want[order[i]] = want[order[n + i]] = min(order[i], order[n + i])
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
 def test_near_duplicate_edges(edge):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == edge.count()
