@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 
 from ..frame import mapped, shipped  # noqa: F401
 
-_LOCAL: list[str] = []
+#: Shuffle files of a finished query go at once rather than when the JVM next collects its plans.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one (tests, local mode) only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, where driver and executors are one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder for the tables between steps")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="larkspur-"))
     return f"file://{_LOCAL[0]}"
@@ -35,17 +38,41 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+_LOCAL: list[str] = []
+_LIVE: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in _LIVE.items():
+        _delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    A lost executor costs only the unfinished tasks of later jobs. The files go when the driver exits.
+    A lost executor costs only the unfinished tasks of later jobs. The files go with used(), or when the driver exits.
     """
     spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # shuffle files of finished tables go once the driver has collected their plans
     path = f"{shared_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    _LIVE[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def used(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path in _LIVE:
+            _delete(_LIVE.pop(path), path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -123,7 +150,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        cur = written(small, name)
+        cur, last = written(small, name), cur
+        used(last)
         now = tuple(cur.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if now == before:
             return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

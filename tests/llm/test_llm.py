@@ -128,11 +128,12 @@ def test_near_duplicate_edges(edge):
 
 
 def test_neighbours_find_the_leader():
-    r = np.random.Generator(np.random.PCG64(0))
-    base = r.integers(0, 1 << 16, near_dedup.DEPTH)
-    rows = np.array([np.where(r.random(near_dedup.DEPTH) < 0.12, r.integers(0, 1 << 16, near_dedup.DEPTH), base) for _ in range(400)] + [base])
+    depth, r = 8, np.random.Generator(np.random.PCG64(0))
+    base = r.integers(0, 1 << 16, depth)
+    rows = np.array([np.where(r.random(depth) < 0.12, r.integers(0, 1 << 16, depth), base) for _ in range(400)] + [base])
     order = np.lexsort(rows.T[::-1])
-    a, b = near_dedup.neighbours(np.zeros(401, int), rows[order].astype(">u2"), np.arange(401)[order])
+    ids = np.arange(401)[order]
+    a, b = near_dedup.neighbours(np.zeros(401, int), rows[order].astype(">u2"), ids, ids, 2, True)
     like_base = {i for i in range(401) if (rows[i] == base).all()}
     partners = defaultdict(set)
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -140,6 +141,37 @@ def test_neighbours_find_the_leader():
         partners[y].add(x)
     near = [i for i in range(400) if (rows[i][:2] == base[:2]).all()]
     assert all(partners[i] & like_base for i in near)
+    a, b = near_dedup.neighbours(np.zeros(401, int), rows[order].astype(">u2"), ids % 2, ids, 2, False)
+    assert len(a) and ((a % 2) != (b % 2)).all()  # only between different components
+
+
+@pytest.mark.parametrize("percent", [50, 70, 95])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    r = random.Random(percent)
+    rows = []
+    for i in range(300):  # pairs just above the threshold and just below it
+        n, own = 200, i % 2
+        share = (percent + 1.5 - 3 * own) / 100
+        same = round(2 * share * n / (1 + share)) + 4
+        base = [f"p{i}x{j}" for j in range(n + 4)]
+        rows += [" ".join(base), " ".join(base[:same] + [f"q{i}x{j}" for j in range(n + 4 - same)])]
+    base = [r.choice(VOCAB) for _ in range(300)]
+    rows += [" ".join(varied(r, base, 0.04 * (100 - percent) / 50)) for _ in range(80)]
+    order = r.sample(range(len(rows)), len(rows))
+    rows = [(order[i], t) for i, t in enumerate(rows)]
+    want = brute_components(rows, percent)
+    assert 150 <= sum(i != c for i, c in want.items())
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, rows).repartition(5), percent).collect()}
+    assert got == want
+
+
+def test_forest_follows_the_threshold():
+    for percent in (12, 50, 70, 80, 85, 95, 100):
+        f, s = near_dedup.Forest.of(percent), percent / 100
+        assert f.trees * f.depth == near_dedup.N and (1 - s**f.least) ** f.trees <= near_dedup.MISSED and f.agree <= s * near_dedup.N
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            near_dedup.Forest.of(percent)
 
 
 # Line dedup.
