@@ -2,77 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import mapped, shipped  # noqa: F401
-
-#: Shuffle files of a finished query go at once rather than when the JVM next collects its plans.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, where driver and executors are one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no shared folder for the tables between steps")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="larkspur-"))
-    return f"file://{_LOCAL[0]}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; nothing can be deleted any more
-        return
-
-
-_LOCAL: list[str] = []
-_LIVE: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path, spark in _LIVE.items():
-        _delete(spark, path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    A lost executor costs only the unfinished tasks of later jobs. The files go with used(), or when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, "false")
-    spark.conf.set(CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN, before)
-    _LIVE[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def used(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_written_to", None)
-        if path in _LIVE:
-            _delete(_LIVE.pop(path), path)
+from ..frame import mapped, settled, shared_dir, shipped, used, written  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

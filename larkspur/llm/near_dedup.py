@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import appended, components, everything, mapped, parts, used, written
+from .common import appended, components, everything, mapped, parts, settled, used, written
 
 #: Values in a signature, neighbours looked at in an order, rows of an order in one partition (about).
 N, NEAR, ROWS = 128, 3, 500_000
@@ -348,8 +348,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         return written(appended(docs.join(ids, "doc_id", "left_semi"), ["text"], _sets(k), s="array<long>").drop("text").where("size(s) > 0"), "sets")
 
     def confirmed(some: DataFrame, sets: DataFrame) -> DataFrame:
-        x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
-        x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+        # sets are large rows: never broadcast
+        x = some.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
+        x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
         both = F.size(F.array_intersect("x", "y")).cast("long")
         x = x.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
         return x.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -362,7 +363,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 
     def linked(more: DataFrame) -> DataFrame:
         """node, root with further links: a root's edges stand for the links that made it."""
-        return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        out = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        settled(out.sparkSession)
+        return out
 
     # The first trees: the best candidate of each set, then all the others that would still join two components.
     few = max(1, forest.trees // 4)
