@@ -1,11 +1,12 @@
 r"""Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are the \n-split parts of a text; their words are runs of [^\x20\x09-\x0D]. A line repeats an earlier one if the words are
-equal (lines of EXACT words or more) or one word inserted, deleted or replaced apart (both of FUZZY words or more). Earlier is by
-(doc_id, the text's hash, line number); the earliest line stays, each later one that repeats any earlier line goes, whether or
-not that earlier line stays itself. Shorter lines always stay.
+Lines are the \n-split parts of a text; their words are runs of [^\x20\x09-\x0D] with A-Z in lower case. A line repeats an earlier
+one if their words are equal, or if one word inserted, deleted or replaced makes them so and both have SHARE words or more: the edit
+bound is one word in SHARE, and one at most. Earlier is by (doc_id, the text's hash, line number); the earliest line stays, each later
+one that repeats any earlier line goes, whether or not that earlier line stays itself. Lines without words always stay.
 
-1. Equal lines: a grouped minimum over a hash of the words; the rest works on one line of each class. No text is shuffled here.
+1. Equal lines: a grouped minimum over 128 bits of hashes of the words; the rest works on one line of each class. No text is
+   shuffled here.
 2. Two lines of m words or fewer that are one word apart share their first or their last m / 2 words. Only lines that share such
    a part (its length rounded down to a power of two) with another line go on; only they are fetched as text.
 3. Of those, each variant with one word left out is a key, and so are all words together. Keys are sums of position-dependent
@@ -15,7 +16,8 @@ not that earlier line stays itself. Shorter lines always stay.
 4. Each line is held word by word against the earliest line so found.
 
 Defined results: a null text is empty and stays; a null doc_id comes after all others; rows equal in doc_id and text are one
-document and get the same decision; an empty table gives an empty table; other columns pass through keep_lines() unread.
+document and get the same decision; an empty table gives an empty table; other columns pass through keep_lines() unread; a text
+without spaces is one word a line, so that of such lines only equal ones go.
 """
 
 from __future__ import annotations
@@ -24,22 +26,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import everything, fresh, named, written
+from .common import everything, fresh, named, used, written
 
-EXACT, FUZZY = 3, 8
+#: One word in so many may differ, one at most.
+SHARE = 8
 SPACE = r"[\x20\x09-\x0D]+"
 _NO_ID = (1 << 63) - 1
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("d", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).withColumn("h", F.xxhash64("text"))
 
 
-def _single_spaced(line: Column) -> Column:
+def _plain(line: Column) -> Column:
     odd = F.contains(line, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
-    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    spaced = F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    lower = F.when(F.octet_length(spaced) == F.char_length(spaced), F.lower(spaced)).otherwise(F.translate(spaced, _AZ, _AZ.lower()))  # lower() changes A-Z alone in ASCII, and is faster
+    return F.trim(lower)
 
 
 PARTS = ("p1", "p2", "p3", "p4")
@@ -53,16 +59,16 @@ def _parts() -> list[Column]:
         return [F.when(when, F.xxhash64(F.lit(seed), F.expr(f"substring_index(t, ' ', cast({sign}{size} as int))"))) for seed, sign in ((2, ""), (3, "-"))]
 
     crosses = F.expr("((n + 1) & n) = 0")  # n + 1 is a power of two
-    fuzzy = F.col("n") >= FUZZY
+    fuzzy = F.col("n") >= SHARE
     return [c.alias(p) for c, p in zip([*ends("n", fuzzy), *ends("n + 1", fuzzy & crosses)], PARTS, strict=True)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, h, line, t (single-spaced), n (words) of the lines that count."""
-    raw = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.octet_length("raw") >= 2 * EXACT - 1)
-    t = raw.select("d", "h", "line", _single_spaced(F.col("raw")).alias("t"))
+    """d, h, line, t (its words, a space between), n (words) of the lines that have words."""
+    raw = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where("raw <> ''")
+    t = raw.select("d", "h", "line", _plain(F.col("raw")).alias("t")).where("t <> ''")
     n = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit(" "), F.lit(""))) + 1
-    return t.select("*", n.alias("n")).where(F.col("n") >= EXACT)
+    return t.select("*", n.alias("n"))
 
 
 def _at(position: Column, word: Column, seed: int) -> Column:
@@ -73,23 +79,26 @@ def _at(position: Column, word: Column, seed: int) -> Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> d, h, line: the number (from 0) of each line to drop; d and h name the document (see _row_key)."""
     docs = _row_key(docs.select("doc_id", "text")).where("text is not null").select("d", "h", "text")
-    lines = written(_lines(docs).select("d", "h", "line", F.xxhash64("t").alias("k1"), F.octet_length("t").alias("k2"), *_parts()), "lines")
+    lines = written(_lines(docs).select("d", "h", "line", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), *_parts()), "lines")
 
     at = F.struct("d", "h", "line")
     classes = written(lines.groupBy("k1", "k2", *PARTS).agg(F.min(at).alias("at"), F.max(at).alias("last")), "classes")
     again = classes.where(F.col("at") < F.col("last")).select("k1", "k2", F.col("at").alias("first"))
     equal = written(lines.select("k1", "k2", at.alias("at")).join(again.hint("merge"), ["k1", "k2"]).where(F.col("first") < F.col("at")).select("at.*"), "equal")
+    used(lines)
 
     # Lines that share a part with another line, fetched as text and numbered in order.
     parts = classes.select("k1", "k2", F.explode(F.array(*PARTS)).alias("part")).where("part is not null")
     shared = parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("part")
     some = parts.join(shared.hint("merge"), "part").select("k1", "k2").distinct()
     wanted = written(classes.select("k1", "k2", "at").join(some.hint("merge"), ["k1", "k2"]).groupBy("at.d", "at.h").agg(F.collect_list("at.line").alias("lines")), "wanted")
-    near = docs.join(wanted.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "lines", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.array_contains("lines", F.col("line")))
-    near = written(near.select("d", "h", "line", _single_spaced(F.col("raw")).alias("t")), "near")
-    near = near.groupBy("d", "h", "line").agg(F.first("t").alias("t")).orderBy("d", "h", "line").withColumn("ord", F.monotonically_increasing_id())
-    near = near.withColumn("n", F.size(F.split("t", " ")))
-    near = written(near, "near")
+    used(classes)
+    near = docs.join(wanted.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "lines", F.split("text", "\n").alias("raw"))
+    near = near.select("d", "h", "raw", F.explode("lines").alias("line")).select("d", "h", "line", _plain(F.get("raw", F.col("line"))).alias("t"))
+    fetched = written(near, "near")
+    near = fetched.groupBy("d", "h", "line").agg(F.first("t").alias("t")).orderBy("d", "h", "line").withColumn("ord", F.monotonically_increasing_id())
+    near = written(near.withColumn("n", F.size(F.split("t", " "))), "near")
+    used(wanted, fetched)
 
     # The keys of each line: x1, x2 with word i left out (i from 0), or of all words (i = -1).
     spread = near.select("ord", "n", "t").repartition("ord").select("ord", "n", F.posexplode(F.split("t", " ")).alias("i", "w"))
@@ -120,7 +129,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rest = [F.slice(x, differ + F.when(F.size(x) == longer, 1).otherwise(0), longer) for x in ("w", "v")]
     near_at = pair.where((longer - shorter <= 1) & (rest[0] == rest[1])).select("d", "h", "line")
     # the other lines of a near line's class are later than it, and go by step 1
-    return equal.unionByName(near_at).distinct()
+    gone = written(equal.unionByName(near_at).distinct(), "repeated")
+    used(equal, near, keys, cuts)
+    return gone
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
@@ -133,8 +144,8 @@ def keep_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*everything(docs), F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias(d), F.xxhash64("text").alias(h))
     out = keyed.join(drop.hint("shuffle_hash"), [d, h], "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda t, i: ~F.array_contains(gone, i))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hash, in order
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     columns = [text.alias(c) if c == "text" else named(c) for c in docs.columns]
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(*columns, size.alias(n_lines), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_dropped))
@@ -143,8 +154,8 @@ def keep_lines(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH docs AS (SELECT doc_id, text FROM documents),
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM docs),
-lines AS (SELECT doc_id, line, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
-big AS (SELECT doc_id, line, w, len(w) AS n, doc_id * 1000000 + line AS pos FROM lines WHERE len(w) >= 3),
+lines AS (SELECT doc_id, line, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
+big AS (SELECT doc_id, line, w, len(w) AS n, doc_id * 1000000 + line AS pos FROM lines WHERE len(w) >= 1),
 class AS (SELECT w, n, min(pos) AS pos FROM big GROUP BY w, n),
 fz AS (SELECT * FROM class WHERE n >= 8),
 cuts AS (SELECT pos, n, i, md5(array_to_string(w[1:i-1], ' ') || ' ' || array_to_string(w[i+1:], ' ')) AS k

@@ -178,8 +178,9 @@ def test_forest_follows_the_threshold():
 
 
 def brute_lines(rows):
-    lines = [(i, n, tuple(x for x in re.split(r"[\x20\x09-\x0D]+", t) if x)) for i, text in rows for n, t in enumerate((text or "").split("\n"))]
-    lines = [x for x in sorted(lines) if len(x[2]) >= line_dedup.EXACT]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    lines = [(i, n, tuple(x for x in re.split(r"[\x20\x09-\x0D]+", lower(t)) if x)) for i, text in rows for n, t in enumerate((text or "").split("\n"))]
+    lines = [x for x in sorted(lines) if x[2]]
 
     def apart(a, b):
         if abs(len(a) - len(b)) > 1:
@@ -191,7 +192,7 @@ def brute_lines(rows):
 
     gone = set()
     for k, (i, n, w) in enumerate(lines):
-        if any(v == w or (len(w) >= line_dedup.FUZZY and len(v) >= line_dedup.FUZZY and apart(v, w)) for _, _, v in lines[:k]):
+        if any(v == w or (len(w) >= line_dedup.SHARE and len(v) >= line_dedup.SHARE and apart(v, w)) for _, _, v in lines[:k]):
             gone.add((i, n))
     return gone
 
@@ -208,6 +209,7 @@ def test_lines_against_brute_force(spark):
                 at = r.randrange(len(w))
                 w[at : at + r.randrange(2)] = [r.choice("abcdefgh")] * r.randrange(2)
                 w = w or ["a"]
+            w = [r.choice([x, x, x.upper()]) for x in w]
             lines.append(r.choice([" ", "  ", "\t"]).join(w))
         rows.append((i, "\n".join(lines)))
     want = brute_lines(rows)
@@ -218,6 +220,13 @@ def test_lines_against_brute_force(spark):
         assert got[i]["n_dropped"] == sum((i, n) in want for n in range(len(lines))) and got[i]["n_lines"] == len(lines)
 
 
+def test_lines_in_another_case(spark):
+    long = "ALL Rights Reserved by the Owner \u00c9 of this Page"
+    rows = [(1, f"{long}\nx\nX\nword"), (2, f"{long.replace('Reserved', 'reserved').replace('ALL', 'all')}\nWORD\n\u00e9\n\u00c9\ny"), (3, long.replace("Page", "Site").lower().replace("\u00e9", "\u00c9"))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.keep_lines(docs(spark, rows)).collect()}
+    assert got == {1: f"{long}\nx\nword", 2: "\u00e9\n\u00c9\ny", 3: ""}
+
+
 def test_line_edges(edge):
     out = line_dedup.keep_lines(edge)
     assert out.columns == [*edge.columns, "n_lines", "n_dropped"]
