@@ -325,24 +325,42 @@ def test_url_rules_and_parsing(spark):
 
 def test_mined_rules_against_counting(spark):
     r = random.Random(2)
-    rows = [(i, f"http://{r.choice(['spam', 'news', 'shop'])}.{r.choice(['x', 'y'])}.com/{r.choice(['win', 'read'])}/{i}?ref={i}") for i in range(600)]
+    slug = "/".join("abcdefghijklmnop")  # long paths hide nothing
+    rows = [(i, f"http://{r.choice(['spam', 'news', 'shop'])}.{r.choice(['x', 'y'])}.com/{slug}/{r.choice(['win', 'read'])}/{i}?ref={i}") for i in range(600)]
     bad = {i: int(("spam" in u and "win" in u) or r.random() < 0.05) for i, u in rows}
-    pages = spark.createDataFrame(rows, "page_id long, url string")
+    pages = spark.createDataFrame([*rows, (600, None), (601, "http://shop.x.com/block/me")], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
-    rules = dict(url_filter.mined(pages, labels))
-    n, want = len(rows), {}
-    sets = {i: set(url_filter.tokens(u)) for i, u in rows}
-    for size in (1, 2, 3):
-        for items in itertools.combinations(sorted(set().union(*sets.values())), size):
-            have = [bad[i] for i, s in sets.items() if s.issuperset(items)]
-            if sum(have) >= max(url_filter.SUPPORT * n, url_filter.LEAST) and sum(have) / len(have) >= url_filter.CONFIDENCE:
+    table = url_filter.written(url_filter.baskets(pages, labels, [("shop.x.com/block", "block"), ("shop.x.com/", "allow")]), "baskets")
+    explicit = {x["page_id"]: (x["verdict"], x["bad"]) for x in table.collect()}
+    assert all(explicit[i] == (("allow", 0) if "//shop.x.com" in u else (None, bad[i])) for i, u in rows) and explicit[600] == (None, 0) and explicit[601] == ("block", 1)
+    rules = dict(url_filter.mined(table))
+    sets = {x["page_id"]: (frozenset(x["tokens"]), x["bad"]) for x in table.collect() if x["tokens"]}
+    n, want = len(sets), {}
+    alike = defaultdict(list)  # tokens that occur on the same pages are one
+    for t in sorted(set().union(*(s for s, _ in sets.values()))):
+        alike[frozenset(i for i, (s, _) in sets.items() if t in s)].append(t)
+    for size in (1, 2, 3, 4):
+        for items in itertools.combinations(sorted(v[0] for v in alike.values()), size):
+            have = [b for s, b in sets.values() if s.issuperset(items)]
+            if sum(have) >= url_filter.SUPPORT * n and sum(have) and url_filter.wilson(sum(have), len(have)) >= url_filter.CONFIDENCE:
                 if not any(set(w) < set(items) and c >= sum(have) / len(have) for w, c in want.items()):
                     want[items] = sum(have) / len(have)
     assert rules.keys() == want.keys() and rules and all(rules[k] == pytest.approx(want[k]) for k in want)
+    assert any({"h:spam", "p:win"} <= set(k) for k in rules)
     index = url_filter.Index(list(rules.items()))
     for _, u in rows:
         fits = [k for k in rules if set(k) <= set(url_filter.tokens(u))]
-        assert (index.match(u) is not None) == bool(fits)
+        assert (index.match(url_filter.tokens(u)) is not None) == bool(fits)
+    got = {x["page_id"]: x for x in url_filter.judged(pages, labels, [("shop.x.com/", "allow")]).collect()}
+    assert all(got[i]["verdict"] == "block" for i, u in rows if "spam" in u and "win" in u) and got[600]["verdict"] == "allow"
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_rules_of_the_given_tables(spark, sf_dir, sf):
+    read = lambda t: spark.read.parquet(f"{sf_dir.replace('sf0.001', sf)}/{t}.parquet")
+    rules = url_filter.mined(url_filter.written(url_filter.baskets(read("pages"), read("labels"), entries.URL_RULES), "baskets"))
+    assert len(rules) >= 3 and all(c >= url_filter.CONFIDENCE for _, c in rules)
+    assert any(set(k) == {"d:example.org", "p:es"} or set(k) == {"h:org", "p:es"} for k, _ in rules)
 
 
 # Media.
