@@ -445,13 +445,78 @@ def test_quality_keeps_prose_and_rejects_junk(spark, table, labels, edge):
     assert quality_rules.quality(edge.limit(0)).count() == 0
 
 
-def test_mcd_is_robust(spark):
+def brute_mcd(x, prior=None, starts=60, seed=0):
+    """The least determinant over random starts, each taken to its end by exact concentration steps -> mean, covariance, inverse, log determinant."""
+    r, (n, k) = np.random.Generator(np.random.PCG64(seed)), x.shape
+    h, best = int(np.ceil(quality_rules.H * n - 1e-9)), None
+
+    def estimate(rows):
+        count, s, p = len(rows), rows.sum(axis=0), rows.T @ rows
+        if prior:
+            count, s, p = count + quality_rules.PRIOR, s + quality_rules.PRIOR * prior[0], p + quality_rules.PRIOR * (prior[1] + np.outer(prior[0], prior[0]))
+        m = s / count
+        raw = p / count - np.outer(m, m)
+        c = raw * quality_rules._CONSISTENT + np.diag(np.square(quality_rules.FLOOR))
+        return m, raw, np.linalg.inv(c), np.linalg.slogdet(c)[1]
+
+    for i in range(starts):
+        rows, last = x[r.permutation(n)[: h if i == 0 else min(n, k + 1)]], None
+        while last is None or now[3] < last - 1e-9:
+            last = now[3] if rows is None else np.inf
+            now = estimate(x[near] if rows is None else rows)
+            d = np.einsum("ij,jk,ik->i", x - now[0], now[2], x - now[0])
+            near, rows = np.argsort(d, kind="stable")[:h], None
+        now = estimate(x[near])
+        if best is None or now[3] < best[3]:
+            best = now
+    return best
+
+
+def test_mcd_against_many_starts(spark):
     r = np.random.Generator(np.random.PCG64(2))
-    x = r.normal(size=(2000, 5))
-    x[:400] += 50
-    df = spark.createDataFrame([("a", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    e = quality_rules.estimates(df).first()
-    assert np.abs(np.array(e["mean"])).max() < 0.3
+    shape = r.normal(size=(5, 5))
+    clean = r.normal(size=(2000, 5)) @ shape
+    far = clean.copy()
+    far[:400] = far[:400] * 0.1 + 30  # a tight group apart
+    rows = [(g, *map(float, v)) for g, x in (("clean", clean), ("far", far), ("one", far[:1])) for v in x]
+    got = {e["g"]: e for e in quality_rules.estimates(spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()}
+    for g, x in (("clean", clean), ("far", far)):
+        m, _, _, det = brute_mcd(x)
+        assert got[g]["det"] <= det + 0.1 and np.abs(np.array(got[g]["mean"]) - m).max() < 0.5
+    assert np.allclose(got["one"]["mean"], far[0]) and np.abs(np.array(got["far"]["mean"])).max() < 1
+
+
+def test_quality_against_brute_force(spark, table):
+    part = F.col("doc_id") % 5
+    some = table.withColumn("lang", F.when(part == 0, None).otherwise(F.col("lang"))).withColumn("source", F.when(part == 1, None).when(part == 2, "a").otherwise("b"))
+    texts = {r["doc_id"]: r for r in some.collect()}
+    counts = quality_rules._counted([r["text"] for r in texts.values()])
+    x, keys = {}, {}
+    for i, (words, chars, symbols, dup, repeat, lines) in zip(texts, zip(*counts, strict=True), strict=True):
+        n, c = max(words, 1), max(chars, 1)
+        if words >= 50 and 100 * repeat <= 50 * words:
+            x[i] = np.array([np.log1p(words), np.log(c / n), np.sqrt(symbols / c), np.sqrt(dup / lines), np.sqrt(repeat / n)])
+            keys[i] = (texts[i]["lang"], texts[i]["source"])
+    every = brute_mcd(np.stack(list(x.values())))
+    langs = {g: brute_mcd(np.stack([x[i] for i in x if keys[i][0] == g]), every) for g in {k[0] for k in keys.values()}}
+    own = {k: brute_mcd(np.stack([x[i] for i in x if keys[i] == k]), langs[k[0]]) for k in set(keys.values())}
+    assert None in langs and any(k[0] is not None and k[1] is None for k in own)
+    seen = 0
+    for r in quality_rules.quality(some).collect():
+        i = r["doc_id"]
+        assert r["base_failed"] == (i not in x)
+        if i in x:
+            m, _, inverse, _ = own[keys[i]]
+            d = (x[i] - m) @ inverse @ (x[i] - m)
+            if not 0.8 < d / quality_rules.CUT < 1.25:
+                seen += 1
+                assert r["kept"] == (d <= quality_rules.CUT), (i, d, r["distance"])
+    assert seen >= 0.95 * len(x)
+
+
+def test_chi_square():
+    assert quality_rules.chi_square_tail(11.0705, 5) == pytest.approx(0.05, abs=1e-5) and quality_rules.chi_square_tail(14.0671, 7) == pytest.approx(0.05, abs=1e-5)
+    assert quality_rules.chi_square_quantile(0.25, 5) == pytest.approx(6.6257, abs=1e-3)
 
 
 # Classifier chain and mixing.
