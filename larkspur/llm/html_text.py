@@ -1,33 +1,41 @@
 """Main text of web pages: a bidirectional LSTM labels every block of a page.
 
 A scanner cuts a page into leaf blocks: runs of text between block-level tags, with the path of open tags (with their class, id
-and role words). Each block is read as two vectors: hashed tag-path words and hashed words of its text with a few shape values.
-The LSTM (numpy, both directions) reads the whole sequence of a page, so that a block's label depends on everything before and
-after it; pages are batched by length, none is cut.
+and role words). Each block is read as two vectors: hashed tag-path words, and all distinct hashed words of its text (scaled by the root
+of their number) with a few shape values. The LSTM (numpy, both directions) reads the whole sequence of a page, so that a block's
+label depends on everything before and after it; pages are batched by length, none is cut.
 
-Training (on the driver, fixed seed) is on pages written by a small generator: articles with headings, paragraphs, lists, quotes
-and unclosed inline tags, among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in varying order,
-nesting and naming. It doesn't read the corpus, so that equal pages get equal text at every input size.
+Training (fixed seed) is on pages written by a small generator: articles with headings, paragraphs, lists, quotes and unclosed
+inline tags, among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in varying order, nesting and
+naming, some known by their wording alone. It doesn't read the corpus, so that equal pages get equal text at every input size. The
+fitted weights are kept in the shared folder, under a digest of this file: one driver of a cluster trains, the others read.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed script or comment
-runs to the end); an empty table gives an empty table; only page_id, url and html are read.
+runs to the end, a quote that is not closed is a plain character, a tag that is not closed is text); an empty table gives an empty
+table; only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from functools import cache
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import appended
+from .common import appended, shared_dir
 
-PATH, WORDS, SHAPE, HIDDEN = 96, 32, 6, 16
+PATH, WORDS, SHAPE, HIDDEN = 96, 64, 6, 16
 INPUT = PATH + WORDS + SHAPE
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_MARK = re.compile(r"<(?:!|\?|/?[a-zA-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")
 # Element kinds of HTML.
@@ -37,15 +45,74 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn",
 _CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+class _Tags:
+    """Tags of a page in order. Every search is remembered, so that broken markup costs no more than sound markup."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = {q: [m.start() for m in re.finditer(q, page)] for q in "\"'"}
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()  # places from which no unquoted > follows
+
+    def end(self, i: int) -> int:
+        """The place after the > that ends the tag whose name ends at i; 0 if there is none."""
+        if i > self.last:
+            return 0
+        first, seen = i, []
+        while True:
+            if i in self.dead:
+                break
+            seen.append(i)
+            m = _STOP.search(self.page, i)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            places = self.quotes[m[0]]
+            k = bisect_right(places, m.start())
+            i = places[k] + 1 if k < len(places) else m.end()
+        self.dead.update(seen)
+        return self.page.find(">", first) + 1  # quotes that swallow the rest of the page are none
+
+    def __iter__(self):
+        """(start, end, name, closing, inside) of each tag; name is empty for comments and declarations."""
+        page, at, n = self.page, 0, len(self.page)
+        while m := _MARK.search(page, at):
+            start = m.start()
+            if m[0] == "<!" or m[0] == "<?":
+                if page.startswith("<!--", start):
+                    stop = page.find("-->", start + 4)
+                    at = stop + 3 if stop >= 0 else n
+                else:
+                    stop = page.find(">", start)
+                    at = stop + 1 if stop >= 0 else n
+                yield start, at, "", False, ""
+                continue
+            name = _NAME.match(page, start)
+            stop = self.end(name.end())
+            if not stop:
+                return
+            tag, closing = name[1].lower(), page[start + 1] == "/"
+            inside, at = page[name.end() : stop - 1], stop
+            if not closing and tag in _RAW:
+                at = self._raw_end(tag, stop)
+            yield start, at, tag, closing, inside
+
+    def _raw_end(self, tag: str, at: int) -> int:
+        m = re.compile(rf"</{tag}(?![a-zA-Z0-9:_-])", re.I).search(self.page, at)
+        stop = self.page.find(">", m.end()) if m else -1
+        return stop + 1 if stop >= 0 else len(self.page)
+
+
 def blocks(html: str | None) -> list[tuple[str, tuple[str, ...]]]:
     """(text, path words) of the leaf blocks in page order."""
     out: list[tuple[str, tuple[str, ...]]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     path: tuple[str, ...] = ()
 
     def flush() -> None:
-        nonlocal path
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
@@ -59,45 +126,45 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...]]]:
         if text or piece.strip():
             text.append(piece)
 
-    page, at, n = html or "", 0, len(html or "")
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    page, at = html or "", 0
+    for start, end, tag, closing, inside in _Tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag == "br" or tag in ("img", "wbr", "input"):
             if text:
                 text.append(" " if tag == "br" else "")
             continue
         if not closing and tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
             continue
         if tag not in _INLINE:
             flush()
         if tag in _VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                while stack:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
             continue
         if tag not in _INLINE:  # a block ends open paragraphs, headings and the inline tags in them
             k = len(stack)
             while k and (stack[k - 1][0] in _INLINE or stack[k - 1][0] in _CLOSED_BY_BLOCK):
                 k -= 1
             if any(t in _CLOSED_BY_BLOCK for t, _ in stack[k:]):
+                opened.subtract(t for t, _ in stack[k:])
                 del stack[k:]
         words = [tag]
-        for a in _ATTRIBUTE.finditer(m[3]):
+        for a in _ATTRIBUTE.finditer(inside):
             words += [f"@{w.lower()}" for w in _WORD.findall(a[2] or a[3] or a[4] or "")]
         stack.append((tag, tuple(words)))
+        opened[tag] += 1
+    if at < len(page):
+        add(page[at:])
     flush()
     return out
 
@@ -108,6 +175,20 @@ def _slot(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 31 else -1.0
 
 
+class _Slots(dict):
+    """Signed slot of each word; forgets when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
+        self[word] = out = h % WORDS + (WORDS if h >> 31 else 0)
+        return out
+
+
+_SLOTS = _Slots()
+
+
 def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
     """One row of INPUT values for each block."""
     x = np.zeros((len(found), INPUT), np.float32)
@@ -116,10 +197,10 @@ def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
             i, s = _slot(w, PATH)
             x[k, i] += s
         words = text.split()
-        for w in words[:1] + words[-1:]:
-            i = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
-            x[k, PATH + i % WORDS] += 0.3 if i >> 31 else -0.3
         n = len(words)
+        distinct = set(words)
+        counts = np.bincount([_SLOTS[w] for w in distinct], minlength=2 * WORDS)
+        x[k, PATH : PATH + WORDS] = 0.5 * (counts[WORDS:] - counts[:WORDS]) / np.sqrt(len(distinct))
         x[k, PATH + WORDS :] = (np.log1p(min(n, 100)) / 4, min(len(text) / (n * 10.0), 2.0), text.count("|") > 0, text[-1] in ".!?…:", "©" in text or "http" in text, 1.0)
     return x
 
@@ -165,14 +246,15 @@ class Labeller:
             keep.append(top)
         return top @ self.v
 
-    def train(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int, batch: int = 32, rate: float = 0.01) -> None:
+    def train(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int, batch: int = 48, rate: float = 0.01) -> None:
         """Adam on the mean logistic loss."""
         r = np.random.Generator(np.random.PCG64(5))
         params = [*self.w, *self.b, self.v]
         m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(rounds):
-            order = r.permutation(len(sequences))
-            for k in range(0, len(order), batch):
+            shuffled = r.permutation(len(sequences))
+            order = shuffled[np.argsort([len(sequences[i][0]) for i in shuffled], kind="stable")]  # like lengths together
+            for k in r.permutation(np.arange(0, len(order), batch)):
                 x, mask, y = _padded([sequences[i] for i in order[k : k + batch]])
                 grads = self._gradients(x, mask, y)
                 step += 1
@@ -190,20 +272,19 @@ class Labeller:
         gw, gb = [], []
         for way in range(2):
             up = d[:, :, None] * self.v[way * HIDDEN : (way + 1) * HIDDEN]
-            w, b = np.zeros_like(self.w[way]), np.zeros_like(self.b[way])
+            all_dz, all_h = np.zeros((*x.shape[:2], 4 * HIDDEN), self.w[way].dtype), np.zeros((*x.shape[:2], HIDDEN), self.w[way].dtype)
             dh, dc = np.zeros((len(x), HIDDEN), np.float32), np.zeros((len(x), HIDDEN), np.float32)
             for t, h, c, f, i, o, g, tc, on in reversed(memories[way]):
                 dh = dh + up[:, t]
                 dh_on, dc_on = np.where(on, dh, 0), np.where(on, dc, 0)
                 dct = dc_on + dh_on * o * (1 - tc * tc)
                 dz = np.concatenate((dct * c * f * (1 - f), dct * g * i * (1 - i), dh_on * tc * o * (1 - o), dct * i * (1 - g * g)), axis=1)
-                w[:INPUT] += x[:, t].T @ dz
-                w[INPUT:] += h.T @ dz
-                b += dz.sum(axis=0)
+                all_dz[:, t], all_h[:, t] = dz, h
                 dh = np.where(on, dz @ self.w[way][INPUT:].T, dh)
                 dc = np.where(on, dct * f, dc)
-            gw.append(w)
-            gb.append(b)
+            flat = all_dz.reshape(-1, 4 * HIDDEN)
+            gw.append(np.concatenate((x.reshape(-1, INPUT).T @ flat, all_h.reshape(-1, HIDDEN).T @ flat)))
+            gb.append(flat.sum(axis=0))
         return [*gw, *gb, gv]
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -239,6 +320,17 @@ _COMMENT = ["comments", "comment", "comment-list", "replies", "discussion", "res
 _MAIN = ["post", "content", "entry", "entry-content", "article-body", "main", "story", "post-content", "body"]
 
 
+# What such blocks say.
+_SAYS = {
+    "notice": ["We use cookies to improve your experience", "Accept all cookies", "Read our privacy policy", "This site uses cookies", "Manage consent settings", "Wir verwenden Cookies auf dieser Website", "Alle Cookies akzeptieren", "Datenschutzerklärung lesen", "Usamos cookies para mejorar su experiencia", "Aceptar todas las cookies", "Nous utilisons des cookies", "Tout accepter"],
+    "ad": ["Advertisement", "Sponsored content", "Buy now and save", "Limited offer, order today", "Shop the sale", "Anzeige", "Jetzt kaufen und sparen", "Publicidad", "Compra ahora", "Publicité", "Achetez maintenant"],
+    "form": ["Subscribe to our newsletter", "Enter your email address", "Sign up for free", "Forgot your password? Log in", "Search this site", "Newsletter abonnieren", "E-Mail-Adresse eingeben", "Suscríbase al boletín", "Introduzca su correo", "Abonnez-vous à la newsletter", "Adresse e-mail"],
+    "comment": ["Leave a reply", "Log in to comment", "comments posted by readers", "says: I agree with this post", "Reply Report", "Kommentar schreiben", "Antworten", "Deja un comentario", "Responder", "Laisser un commentaire", "Répondre"],
+    "aside": ["Related articles", "Share this on Facebook Twitter", "Read more", "Most popular posts", "Tags and categories", "Ähnliche Artikel", "Mehr lesen", "Artículos relacionados", "Leer más", "Articles similaires", "Lire la suite"],
+    "footer": ["All rights reserved", "Copyright Terms of use Contact Imprint", "Alle Rechte vorbehalten Impressum Kontakt", "Todos los derechos reservados Contacto", "Tous droits réservés Contact"],
+}
+
+
 def _made_page(r: np.random.Generator) -> str:
     """One training page; main blocks carry the mark \\x02."""
     pick = lambda xs: xs[r.integers(len(xs))]
@@ -251,9 +343,17 @@ def _made_page(r: np.random.Generator) -> str:
     def links() -> str:
         return "<ul>" + "".join(f"<li><a href='/{word()}'>{words(1, 4)}</a></li>" for _ in range(r.integers(1, 9))) + "</ul>"
 
+    def said(kind: str) -> str:
+        """Its wording, or any words."""
+        return pick(_SAYS[kind]) + pick(["", ". ", " "]) + (words(0, 8) if r.random() < 0.5 else "") if r.random() < 0.5 else sentence(1, 60)
+
     def other(inside: bool) -> str:
-        text = sentence(1, 60)
+        if r.random() < 0.1:  # known by what it says alone
+            kind = pick(list(_SAYS))
+            lines = "".join(f"<p>{pick(_SAYS[kind])}{pick(['', '.'])}</p>" for _ in range(r.integers(1, 4)))
+            return pick(["<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>"]).format(lines) if not inside else f"<div>{lines}</div>"
         kind = r.integers(9)
+        text = said(("aside", "ad", "aside", "notice", "form", "comment", "footer", "aside", "aside")[kind])
         if kind == 0:
             return f"<nav>{links()}</nav>" if r.random() < 0.7 else f"<div {named(['nav', 'menu', 'navbar', 'breadcrumb'])}>{links()}</div>"
         if kind == 1:
@@ -265,7 +365,7 @@ def _made_page(r: np.random.Generator) -> str:
         if kind == 4:
             return f"<form><label>{words(1, 4)}</label><p>{text}</p><button>{word()}</button></form>"
         if kind == 5:
-            body = "".join(f"<{(t := pick(['div', 'li', 'p', 'article']))} class='{pick(_COMMENT)}'>{pick(['<b>', '<cite>', '<span>'])}{word()}<p>{pick(['', '', '<b>'])}{sentence(2, 80)}</p></{t}>" for _ in range(r.integers(1, 5)))
+            body = "".join(f"<{(t := pick(['div', 'li', 'p', 'article']))} class='{pick(_COMMENT)}'>{pick(['<b>', '<cite>', '<span>'])}{word()}<p>{pick(['', '', '<b>'])}{said('comment')}</p></{t}>" for _ in range(r.integers(1, 5)))
             return f"<{(t := pick(['section', 'div', 'ol']))} {named(_COMMENT)}><h3>{words(1, 3)}</h3>{body}</{t}>"
         if kind == 6:
             return f"<footer>&copy; {word()} {text}</footer>"
@@ -290,6 +390,8 @@ def _made_page(r: np.random.Generator) -> str:
                 parts.append(f"<pre>\x02{long}</pre>")
             elif r.random() < 0.6:
                 parts.append(other(True))
+        if r.random() < 0.08:  # junk that says one thing again and again
+            parts += [f"<p>\x02{sentence(1, 6)}</p>"] * r.integers(2, 60)
         if r.random() < 0.15:
             parts.append(other(True))
         inner = "".join(parts)
@@ -308,7 +410,7 @@ def _made_page(r: np.random.Generator) -> str:
 
 
 @cache
-def trained(pages: int = 1500, rounds: int = 8) -> Labeller:
+def trained(pages: int = 3000, rounds: int = 7) -> Labeller:
     """The labeller, trained on made pages; the same at every call."""
     r = np.random.Generator(np.random.PCG64(3))
     sequences = []
@@ -320,10 +422,34 @@ def trained(pages: int = 1500, rounds: int = 8) -> Labeller:
             sequences.append((vectors(clean), y))
     model = Labeller()
     model.train(sequences, rounds)
-    model.train(sequences, 2, rate=0.002)
+    model.train(sequences, 3, rate=0.002)
     return model
 
 
+_READY: dict[str, Labeller] = {}
+
+
+def labeller(spark: SparkSession) -> Labeller:
+    """The trained labeller from the shared folder; trained and put there if this version of it is not there yet."""
+    digest = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:24]
+    if digest not in _READY:
+        path = f"{shared_dir(spark).rstrip('/')}/larkspur-models/html-{digest}"
+        jvm = spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        model = Labeller()
+        params = [*model.w, *model.b, model.v]
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            row = spark.read.parquet(path).first()
+            for p, stored in zip(params, row, strict=True):
+                p[...] = np.frombuffer(stored, np.float32).reshape(p.shape)
+        else:
+            model = trained()
+            row = [bytearray(p.astype(np.float32).tobytes()) for p in (*model.w, *model.b, model.v)]
+            spark.createDataFrame([row], "w0 binary, w1 binary, b0 binary, b1 binary, v binary").coalesce(1).write.mode("overwrite").parquet(path)
+        _READY[digest] = model
+    return _READY[digest]
+
+
 def extract(model: Labeller, pages: list[str | None]) -> list[str]:
     found = [blocks(p) for p in pages]
     labels = model.label([vectors(f) for f in found])
@@ -332,7 +458,7 @@ def extract(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars (code points)."""
-    model = trained()
+    model = labeller(pages.sparkSession)
 
     def run(htmls: list[str | None]) -> tuple[list, list]:
         texts = extract(model, htmls)

@@ -3,8 +3,10 @@
 Pieces of documents go into bins whose capacity is one of several permitted sequence lengths. Each partition is packed as its
 rows come, WINDOW pieces at a time, longest first: a piece goes to the open bin with the least room that holds it; if none does,
 the permitted length opens whose cost for each token that can be expected in it is least, given what is left to pack. Bins that
-stay emptier than FULL go back and are packed again with the next pieces. In the end each bin shrinks to the smallest permitted
-length that holds its contents. Nothing is shuffled, memory is bounded by WINDOW, and a lost task is simply run again.
+stay emptier than FULL go back and are packed again with the next pieces. What a partition has left in the end is dealt out anew,
+WINDOW pieces to a task, and packed in a second round, so that many small partitions fill their bins as well as few large ones.
+There each bin shrinks to the smallest permitted length that holds its contents. Memory is bounded by WINDOW, only left-over
+pieces are shuffled, and a lost task is simply run again.
 
 Texts longer than the greatest length are cut at it; only the last piece of a text can be shorter. Lengths are words unless a
 column of counts is named.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, written
 
 SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.97
 
@@ -61,7 +63,8 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[tuple[int,
     return out
 
 
-def _packer(sizes: tuple[int, ...]):
+def _packer(sizes: tuple[int, ...], last: bool):
+    """A round over (doc_id, piece, start, n): bins, and without `last` the left-over pieces (rows that have tokens but no bin)."""
     most = max(sizes)
     kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("bin_size", pa.int64()), ("bin_offset", pa.int64())])
 
@@ -70,14 +73,14 @@ def _packer(sizes: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        name, made, pieces = context.partitionId() if context else 0, 0, []
+        name, made, pieces = f"{'ab'[last]}{context.partitionId() if context else 0}", 0, []
 
-        def emit(last: bool) -> pa.RecordBatch:
+        def emit(end: bool) -> pa.RecordBatch:
             nonlocal made, pieces
             rows, back = [], []
             for size, members in pack([p[3] for p in pieces], sizes):
                 used = sum(pieces[i][3] for i in members)
-                if not last and used < FULL * size and len(back) + len(members) < WINDOW // 2:
+                if not (end and last) and used < FULL * size and (end or len(back) + len(members) < WINDOW // 2):
                     back += members
                     continue
                 at = 0
@@ -86,15 +89,17 @@ def _packer(sizes: tuple[int, ...]):
                     at += pieces[i][3]
                 made += 1
             pieces = [pieces[i] for i in back]
+            if end:
+                rows += [(*p, None, None, None) for p in pieces]
             return table(rows)
 
         for batch in batches:
             blank = []
-            for doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, first, begin, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if not n:
                     blank.append((doc, 0, 0, 0, None, None, None))
                 for piece, start in enumerate(range(0, n, most)):
-                    pieces.append((doc, piece, start, min(most, n - start)))
+                    pieces.append((doc, first + piece, begin + start, min(most, n - start)))
                     if len(pieces) >= WINDOW:
                         yield emit(False)
             if blank:
@@ -109,6 +114,12 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, count: str | None =
     """docs(doc_id, text, or a column of counts) -> doc_id, piece, start, n_tokens, bin_id, bin_size, bin_offset: a row for each piece."""
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     n = F.col(count) if count else F.when(F.col("text").isNull(), 0).otherwise(words)
-    rows = docs.select("doc_id", F.coalesce(n.cast("long"), F.lit(0)).alias("n"))
+    zero = F.lit(0).cast("long")
+    rows = docs.select("doc_id", zero.alias("piece"), zero.alias("start"), F.coalesce(n.cast("long"), zero).alias("n"))
     shipped(docs.sparkSession)
-    return rows.mapInArrow(_packer(tuple(sorted(sizes))), "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long")
+    kind, sizes = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long", tuple(sorted(sizes))
+    first = written(rows.mapInArrow(_packer(sizes, False), kind), "packed")
+    left = first.where("bin_id is null and n_tokens > 0").select("doc_id", "piece", "start", F.col("n_tokens").alias("n"))
+    tasks = -(-left.count() // WINDOW)
+    second = left.repartition(max(1, tasks), "doc_id", "piece", "start").mapInArrow(_packer(sizes, True), kind)
+    return first.where("bin_id is not null or n_tokens = 0").unionByName(second)

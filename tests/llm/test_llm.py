@@ -267,7 +267,7 @@ def test_token_counts_over_code_points():
 # HTML.
 
 
-def test_html_extraction_held_out(spark, sf_dir):
+def test_html_extraction_held_out():
     r = np.random.Generator(np.random.PCG64(99))
     model, wrong, n = html_text.trained(), 0, 0
     for _ in range(150):
@@ -277,14 +277,38 @@ def test_html_extraction_held_out(spark, sf_dir):
             wrong += int((model.label([html_text.vectors([(t.replace("\x02", "") or "x", p) for t, p in found])])[0] != y).sum())
             n += len(y)
     assert wrong / n < 0.02
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_html_extraction_of_all_pages(spark, sf_dir, sf):
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', sf)}/pages.parquet")
     got = {x["page_id"]: x for x in html_text.main_text(pages).collect()}
     for p in pages.collect():
         article = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
-        want = [" ".join(html_text.entities.unescape(re.sub(r"<[^>]*>", " " if m else "", b)).split()) for m in [1] for b in re.split(r"</?(?:p|h1)>", article)]
+        want = [" ".join(html_text.entities.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[p["page_id"]]["text"] == "\n\n".join(w for w in want if w)
 
 
+def test_html_wording_counts(spark):
+    a, b = (html_text.vectors([(f"one {w} three", ("div", "p"))]) for w in ("cookies", "mountain"))
+    assert (a != b).any()  # inner words are read
+    story = " ".join(f"<p>{' '.join(VOCAB[i * 40 : i * 40 + 40])}.</p>" for i in range(4))
+    page = "<body><div><p>{}</p></div><article><h1>A title</h1>" + story + "</article></body>"
+    texts = html_text.extract(html_text.labeller(spark), [page.format("We use cookies to improve your experience. Accept all cookies"), page.format("Subscribe to our newsletter")])
+    assert all(t.startswith("A title") for t in texts)
+
+
+def test_html_broken_markup_is_linear():
+    import time
+
+    n = 60_000
+    for page in ("<a " * n, "<a '" * n, "<a \"" * n + ">", "<a '\"" * n + ">x", "<!-" * n, "</script" * n, "<script>" + "</script" * n, "<b>" * 2000 + "</i>" * n, "<div class='" * n + ">"):
+        began = time.monotonic()
+        html_text.blocks(page)
+        assert time.monotonic() - began < 5, page[:20]
+    assert html_text.blocks("a <b c='x>y</b> <p>z") == [("a y", ()), ("z", ("p",))]
+
+
 def test_html_edges(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p>a <b>b</b>&amp;\n c<br>d<p>e"), (4, "u", "<script>x"), (5, "u", "<!-- x"), (6, "u", "plain & <3"), (1 << 60 | 1, None, "<article><p>" + LONG + "</article>")]
     got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, text string")).collect()}
@@ -604,6 +628,14 @@ def test_packing(spark, table, edge):
     assert packing.packed(edge.limit(0)).count() == 0
 
 
+def test_packing_over_small_and_unequal_partitions(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    for rows in (d.repartition(1), d.repartition(100), d.repartitionByRange(7, "n_chars")):
+        bins = packing.packed(rows).where("bin_id is not null").groupBy("bin_id", "bin_size").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m"), F.countDistinct("bin_offset").alias("o"))
+        size, used, wrong = bins.agg(F.sum("bin_size"), F.sum("n"), F.sum((F.col("m") != F.col("o")).cast("int"))).first()
+        assert used / size > 0.99 and wrong == 0 and bins.select("bin_id").distinct().count() == bins.count()
+
+
 def test_pack_is_best_fit():
     r = random.Random(4)
     lengths = [r.randrange(1, 8193) for _ in range(400)] + [r.randrange(1, 400) for _ in range(4000)]
