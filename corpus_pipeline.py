@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing, near_dedup, packing, toxicity
+from larkspur.llm import entries, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
 from larkspur.llm.common import named, read, written
 
 
@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its place in a sequence."""
-    return packing.packed(docs)
+    """A row for each piece of a document with its place in a sequence, in tokens of the model's vocabulary."""
+    return packing.packed(token_counts.token_counts(docs, entries.token_path(), max(packing.SIZES)), count="n_tokens")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
