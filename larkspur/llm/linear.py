@@ -1,9 +1,10 @@
 """Linear text classifiers over word presence and shape, fitted on a bounded sample of labelled rows.
 
-A text becomes the set of its hashed words and beginnings of words (SLOTS slots) and a few shape values. Fitting reads at most `sample` labelled
-documents (those with the smallest hash of their doc_id), whose slot sets come to the driver, never their texts; documents that
-share their three smallest slot hashes count once, so that copies do not make their words look meaningful. The slots with the
-highest chi-square for a label are its features; Newton steps fit an L2-penalised logistic model.
+A text becomes the set of its hashed words and beginnings of words (SLOTS slots) and a few shape values. Fitting reads at most
+`sample` labelled documents (those with the smallest hash of their doc_id); documents that share their three smallest slot hashes
+count once, so that copies do not make their words look meaningful. The slots with the highest chi-square for a label are its
+features; they are counted by Spark, and only the chosen features of the sampled texts reach the driver, whatever the texts'
+length. Newton steps fit an L2-penalised logistic model.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, used, written
 
 SLOTS = 1 << 22
 SAMPLE = 6000
@@ -52,20 +53,59 @@ def shape(text: str | None) -> list[float]:
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        packed = [np.array(slots(t), np.int32).tobytes() for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": packed, "shape": [shape(t) for t in batch["text"]]})
-
-
-def sample(docs: DataFrame, labels: DataFrame, columns: list[str], size: int = SAMPLE) -> pd.DataFrame:
-    """doc_id, slots, shape and the label columns of at most size labelled documents, on the driver."""
-    labels = labels.select("doc_id", *columns).where("doc_id is not null").dropDuplicates(["doc_id"])
-    chosen = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # size rows at most
-    rows = mapped(texts, _described, "doc_id long, slots binary, shape array<double>").toPandas()
-    rows["slots"] = [np.frombuffer(s, np.int32) for s in rows["slots"]]
-    rows = rows.drop_duplicates("doc_id").merge(chosen.toPandas(), on="doc_id").sort_values("doc_id").reset_index(drop=True)
-    sketch = [tuple(np.sort(s.astype(np.uint32) * np.uint32(2654435761))[:3]) or (-1 - i,) for i, s in enumerate(rows["slots"])]
-    return rows[~pd.Series(sketch, dtype=object).duplicated()].reset_index(drop=True)
+        found = [np.array(slots(t), np.int32) for t in batch["text"]]
+        sketch = [np.sort(s.astype(np.uint32) * np.uint32(2654435761))[:3].tobytes() or f"{i}".encode() for s, i in zip(found, batch["doc_id"], strict=True)]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "slots": found, "shape": [shape(t) for t in batch["text"]], "sketch": sketch})
+
+
+class Sample:
+    """At most size labelled documents: a written table (doc_id, slots, shape, label columns), and all but the slots on the driver."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, columns: list[str], size: int = SAMPLE):
+        labels = labels.select("doc_id", *columns).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("x")).select("doc_id", "x.*")
+        chosen = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+        chosen = written(chosen, "chosen")
+        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # size rows at most
+        found = mapped(texts, _described, "doc_id long, slots array<int>, shape array<double>, sketch binary")
+        once = found.groupBy("sketch").agg(F.min(F.struct("doc_id", "shape", "slots")).alias("x")).select("x.*")
+        once = once.groupBy("doc_id").agg(F.min(F.struct("shape", "slots")).alias("x")).select("doc_id", "x.*")
+        self.table = written(once.join(F.broadcast(chosen), "doc_id"), "sample")
+        self.rows = self.table.drop("slots").toPandas().sort_values("doc_id").reset_index(drop=True)
+        used(chosen)
+
+    def choose(self, targets: list[Column], each: int = 200, least: int = 6, precision: float = 0.0) -> list[int]:
+        """The slots of highest chi-square for each target, among those in `least` rows whose share of positives is `precision`."""
+        names = [f"t{i}" for i in range(len(targets))]
+        marks = self.table.select(F.explode("slots").alias("slot"), *[F.coalesce(t, F.lit(False)).cast("int").alias(n) for t, n in zip(targets, names, strict=True)])
+        counts = written(marks.groupBy("slot").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in names]).where(F.col("n") >= least), "slots")
+        size = len(self.rows)
+        shares = self.table.agg(*[F.avg(F.coalesce(t, F.lit(False)).cast("double")) for t in targets]).first() if targets else []
+        chosen: dict[int, None] = {}
+        for name, share in zip(names, shares, strict=True):
+            if not size or not 0 < share < 1:
+                continue
+            expected = F.col("n") * float(share)
+            chi = (F.col(name) - expected) * (F.col(name) - expected) / F.greatest(expected * (1 - float(share)), F.lit(1e-9))
+            best = counts.select("slot", name, "n", chi.alias("chi")).where((F.col("chi") > 15) & (F.col(name) >= precision * F.col("n"))).orderBy(F.col("chi").desc(), "slot").limit(each)
+            chosen |= dict.fromkeys(r["slot"] for r in best.collect())
+        used(counts)
+        return list(chosen)
+
+    def matrix(self, features: Features) -> np.ndarray:
+        """A row for each of `rows`."""
+        known = features.at
+
+        def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"doc_id": b["doc_id"], "at": [[known[s] for s in x if s in known] for x in b["slots"]]})
+
+        have = mapped(self.table.select("doc_id", "slots"), kept, "doc_id long, at array<int>").toPandas().sort_values("doc_id")
+        x = np.zeros((len(have), features.width))
+        for k, (at, values) in enumerate(zip(have["at"], self.rows["shape"], strict=True)):
+            x[k, list(at)] = 1
+            x[k, -SHAPE - 1 : -1] = values
+        x[:, -1] = 1
+        return x
 
 
 class Features:
@@ -76,34 +116,6 @@ class Features:
         self.width = len(chosen) + SHAPE + 1
         self._known: dict[str, list[int]] = {}
 
-    @classmethod
-    def choose(cls, rows: pd.DataFrame, targets: list[np.ndarray], each: int = 200, least: int = 6, precision: float = 0.0) -> Features:
-        """The slots of highest chi-square for each target, among those in `least` rows whose share of positives is `precision`."""
-        n, every = len(rows), np.concatenate([np.zeros(0, np.int32), *rows["slots"]])
-        sizes = [len(s) for s in rows["slots"]]
-        df = np.bincount(every, minlength=SLOTS)
-        chosen: dict[int, None] = {}
-        for y in targets:
-            pos = np.bincount(every[np.repeat(y > 0, sizes)], minlength=SLOTS)
-            share = y.mean() if n else 0.0
-            able = np.flatnonzero((df >= least) & (pos >= precision * df))
-            expected = df[able] * share
-            chi = (pos[able] - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
-            for i in np.lexsort((able, -chi))[:each]:
-                if chi[i] > 15:
-                    chosen[int(able[i])] = None
-        return cls(list(chosen))
-
-    def of_rows(self, rows: pd.DataFrame) -> np.ndarray:
-        x = np.zeros((len(rows), self.width))
-        for k, (s, v) in enumerate(zip(rows["slots"], rows["shape"], strict=True)):
-            for slot in s.tolist():
-                if (i := self.at.get(slot)) is not None:
-                    x[k, i] = 1
-            x[k, -SHAPE - 1 : -1] = v
-        x[:, -1] = 1
-        return x
-
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), self.width))
         known = self._known

@@ -5,6 +5,8 @@ ends a word is decoded to text and encoded by the library; those that give exact
 normalises and splits a text as the file says, adds up the pre-tokens that are in the shortcut and merges only the others,
 each distinct one once for a block, with the library's own merge model.
 
+Only files that are normalised, split and merged like that are taken (see supported()); others are refused.
+
 The split runs on this process's Unicode tables. Code points that they do not know (category Cn) could be classed otherwise by
 the library, so texts with such a code point are encoded by the library whole.
 
@@ -25,6 +27,22 @@ from .common import appended
 _READY: dict[str, "WholeTokens"] = {}
 
 
+def supported(j: dict) -> None:
+    """Refuse a file whose normaliser, split, model or added tokens this counter does not follow."""
+
+    def like(have: dict | None, want: dict) -> bool:
+        return have is not None and all(have.get(k) == v for k, v in want.items())
+
+    normal, split, model = j.get("normalizer") or {}, j.get("pre_tokenizer") or {}, j.get("model") or {}
+    steps, cuts = normal.get("normalizers") or [], split.get("pretokenizers") or []
+    fine = len(steps) == 3 and like(steps[0], {"type": "NFC"}) and like(steps[1], {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}) and like(steps[2], {"type": "Lowercase"})
+    fine = fine and len(cuts) == 2 and like(cuts[0], {"type": "Split", "behavior": "Removed", "invert": True}) and "Regex" in cuts[0]["pattern"] and like(cuts[1], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False})
+    fine = fine and like(model, {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}) and bool(model.get("end_of_word_suffix"))
+    fine = fine and all(like(a, {"special": True, "normalized": False, "lstrip": False, "rstrip": False, "single_word": False}) for a in j.get("added_tokens") or [])
+    if not fine:
+        raise ValueError("the vocabulary is not a lower-casing BPE of words with an end mark")
+
+
 class WholeTokens:
     """Counter for one BPE vocabulary (the text of its .json file) of words with an end mark and lower-casing."""
 
@@ -33,6 +51,7 @@ class WholeTokens:
         from tokenizers import Tokenizer
 
         j = json.loads(spec)
+        supported(j)
         self.library = Tokenizer.from_str(spec)
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         names = sorted((a["content"] for a in j["added_tokens"]), key=len, reverse=True)

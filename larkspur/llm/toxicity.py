@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after the other: 'noise' (quality label 0), then 'toxic' (toxic label 1), then 'severe' (toxic
-with several of the words that mark toxic texts). Each link is a linear model that reads the text's features and the
-probabilities of the links before it. In training those probabilities come out of fold, so that no link learns from
-predictions that an earlier link made for a row it was fitted on; the final links are fitted on all sampled rows.
+The categories are what the labels give, predicted one after the other: 'noise' (quality label 0), then 'toxic' (toxic label 1).
+Each link is a linear model that reads the text's features and the probabilities of the links before it. In training those
+probabilities come out of fold, so that no link learns from predictions that an earlier link made for a row it was fitted on;
+the final links are fitted on all sampled rows.
 
 Defined results: null and empty texts have no words and are judged by the shape alone; documents without a label are judged
 like others; with no labelled rows every probability is as good as nothing and no document is rejected; repeated rows count each.
@@ -12,15 +12,14 @@ like others; with no labelled rows every probability is as good as nothing and n
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, everything, fresh
-from .linear import SAMPLE, Features, logistic, sample, sigmoid
+from .common import appended, everything, fresh, used
+from .linear import SAMPLE, Features, Sample, logistic, sigmoid
 
-CATEGORIES = ("noise", "toxic", "severe")
-FOLDS, REJECT, SEVERE_WORDS = 5, 0.35, 4
+CATEGORIES = ("noise", "toxic")
+FOLDS, REJECT = 5, 0.35
 #: Words count as features only if this share of the sampled texts that have them is of the category: clean words stay out.
 PRECISION = 0.8
 
@@ -44,36 +43,29 @@ class Chain:
         return out
 
 
-def severe(rows: pd.DataFrame, toxic: np.ndarray) -> np.ndarray:
-    """1 where a toxic text has SEVERE_WORDS or more of the slots that at least nine toxic texts of ten carry them."""
-    marks = np.array(list(Features.choose(rows, [toxic], each=40, precision=0.9).at), np.int32)
-    return np.array([t and np.isin(s, marks).sum() >= SEVERE_WORDS for s, t in zip(rows["slots"], toxic, strict=True)], float)
-
-
-def fit_rows(rows: pd.DataFrame, targets: list[np.ndarray]) -> Chain:
-    """rows(doc_id, slots, shape), one target of 0 and 1 for each category in the chain's order."""
-    features = Features.choose(rows, targets, precision=PRECISION)
-    x = features.of_rows(rows)
-    fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 7) % FOLDS if len(rows) else np.zeros(0, int)
-    earlier, weights = np.zeros((len(rows), 0)), []
+def chained(x: np.ndarray, doc_ids: np.ndarray, targets: list[np.ndarray]) -> list[np.ndarray]:
+    """Features of the rows, one target of 0 and 1 for each category in the chain's order -> the weights of each link."""
+    fold = (doc_ids.astype(np.int64) * 2654435761 >> 7) % FOLDS
+    earlier, weights = np.zeros((len(x), 0)), []
     for y in targets:
         seen = np.concatenate((_logit(earlier), x), axis=1)
         weights.append(logistic(seen, y))
-        out = np.zeros(len(rows))
+        out = np.zeros(len(x))
         for k in range(FOLDS):
             held = fold == k
             if held.any():
                 out[held] = sigmoid(seen[held] @ logistic(seen[~held], y[~held]))
         earlier = np.concatenate((earlier, out[:, None]), axis=1)
-    return Chain(features, weights)
+    return weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
     """labels(doc_id, quality, toxic); at most size labelled documents are read."""
-    known = labels.where("quality is not null and toxic is not null")
-    rows = sample(docs, known, ["quality", "toxic"], size)
-    toxic = (rows["toxic"].to_numpy() == 1).astype(float)
-    return fit_rows(rows, [(rows["quality"].to_numpy() == 0).astype(float), toxic, severe(rows, toxic)])
+    s = Sample(docs, labels.where("quality is not null and toxic is not null"), ["quality", "toxic"], size)
+    features = Features(s.choose([F.col("quality") == 0, F.col("toxic") == 1], precision=PRECISION))
+    weights = chained(s.matrix(features), s.rows["doc_id"].to_numpy(np.int64), [(s.rows["quality"].to_numpy() == 0).astype(float), (s.rows["toxic"].to_numpy() == 1).astype(float)])
+    used(s.table)
+    return Chain(features, weights)
 
 
 def score(docs: DataFrame, chain: Chain) -> tuple[DataFrame, list[str]]:
@@ -91,7 +83,7 @@ def score(docs: DataFrame, chain: Chain) -> tuple[DataFrame, list[str]]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, p_noise, p_toxic, p_severe, rejected (p_toxic of REJECT or more)."""
+    """doc_id, p_noise, p_toxic, rejected (p_toxic of REJECT or more)."""
     scored, _ = score(docs.select("doc_id", "text"), fit(docs, labels, size))
     return scored.drop("text").withColumn("rejected", F.col("p_toxic") >= REJECT)
 

@@ -253,6 +253,17 @@ def test_token_counts_equal_the_library(spark, table, edge):
         assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
 
 
+def test_token_counts_refuse_other_files():
+    import json
+
+    with open(entries.token_path(), encoding="utf-8") as f:
+        good = json.load(f)
+    token_counts.supported(good)
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": good["model"] | {"byte_fallback": True}}, {"model": good["model"] | {"end_of_word_suffix": None}}, {"added_tokens": [good["added_tokens"][0] | {"normalized": True}]}):
+        with pytest.raises(ValueError):
+            token_counts.supported(good | change)
+
+
 def test_token_counts_over_code_points():
     from tokenizers import Tokenizer
 
@@ -555,6 +566,19 @@ def test_toxicity_held_out(spark, sf_dir):
     assert out["rejected"][~toxic].mean() < 0.005 and out["rejected"][toxic].mean() > 0.7
 
 
+def test_chain_against_plain_folds():
+    r = np.random.Generator(np.random.PCG64(7))
+    x = np.c_[r.normal(size=(400, 3)), np.ones(400)]
+    first = (x[:, 0] + r.normal(size=400) > 0).astype(float)
+    second = (first + x[:, 1] + r.normal(size=400) > 1).astype(float)
+    ids = np.arange(400) * 17
+    weights = toxicity.chained(x, ids, [first, second])
+    fold = (ids * 2654435761 >> 7) % toxicity.FOLDS
+    out = np.array([1 / (1 + np.exp(-(x[i] @ linear.logistic(x[fold != fold[i]], first[fold != fold[i]])))) for i in range(400)])
+    seen = np.c_[np.log(np.clip(out, 1e-4, 1 - 1e-4) / (1 - np.clip(out, 1e-4, 1 - 1e-4))) / 4, x]
+    assert np.allclose(weights[0], linear.logistic(x, first)) and np.allclose(weights[1], linear.logistic(seen, second), atol=1e-6)
+
+
 def test_toxicity_edges(spark, edge, labels):
     known = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for marks in (known, known.limit(0)):
@@ -575,22 +599,48 @@ def test_logistic_finds_the_optimum():
     assert np.abs(g).max() < 1e-3
 
 
-def test_mixing_reaches_targets(spark):
+def dual_newton(n, p, want, natural, mu, budget):
+    """The optimum by another way: Newton steps on the K multipliers, rates max(0, budget - p.l / mu)."""
+    share, lam = n / n.sum(), np.zeros(p.shape[1])
+    loss = lambda v: natural @ v**2 / 2 + want @ v + mu / 2 * (share @ (np.maximum(0, budget - p @ v / mu) ** 2 - budget**2))
+    for _ in range(300):
+        r = np.maximum(0, budget - p @ lam / mu)
+        g = natural * lam + want - (share * r) @ p
+        on = r > 0
+        move = np.linalg.solve(np.diag(natural) + (p[on] * share[on, None]).T @ p[on] / mu, g)
+        scale = 1.0
+        while scale > 1e-9 and loss(lam - scale * move) > loss(lam) - 1e-4 * scale * (g @ move):
+            scale /= 2
+        lam = lam - scale * move
+        if np.abs(g).max() < 1e-12:
+            break
+    return np.maximum(0, budget - p @ lam / mu)
+
+
+def test_mixing_against_an_independent_solver(spark):
     r = np.random.Generator(np.random.PCG64(6))
-    p = r.dirichlet([0.3, 0.3, 0.3], 500)
-    n = r.integers(1, 1000, 500)
-    df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(500)], "doc_id long, n_tokens__ long, p__ array<double>")
-    targets = {"a": 0.6, "b": 0.3, "c": 0.1}
-    gradients, shares = mixing.fit_rates(df, list(targets), targets)
-    assert np.allclose(shares, list(targets.values()), atol=0.02)
-    # the same steps in numpy
-    w, m, rate = np.array(list(targets.values())), (n[:, None] * p).sum(0) / n.sum(), np.ones(500)
-    for g in gradients:
-        x = (rate[:, None] * n[:, None] * p).sum(0) / n.sum()
-        assert np.allclose(g, (x - w) / m, atol=1e-9)
-        rate = np.maximum(0, rate - (p @ g + mixing.MU * (rate - 1)) / (1 + mixing.MU))
-    got = [x[0] for x in df.orderBy("doc_id").select(mixing.rate_of(gradients, 1.0)).collect()]
-    assert np.allclose(got, rate) and min(got) >= 0
+    for targets in ({"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.005, "b": 0.99, "c": 0.005}, {"a": 0.999, "b": 0.0005, "c": 0.0005}):
+        p = r.dirichlet([0.3, 0.3, 0.3], 500)
+        if targets["a"] > 0.99:
+            p = 0.2 + 0.4 * p  # no rates reach these targets
+        n = r.integers(1, 1000, 500)
+        df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(500)], "doc_id long, n_tokens__ long, p__ array<double>")
+        fit = mixing.fit_rates(df, list(targets), targets)
+        want, share = np.array(list(targets.values())), n / n.sum()
+        natural, rate = share @ p, fit.rates(p, 1.0)
+        assert rate.min() >= 0 and np.allclose((share * rate) @ p, list(fit.shares.values()), atol=1e-9) and len(fit.steps) < mixing.STEPS
+        loss = lambda q: (((share * q) @ p - want) ** 2 / natural).sum() / 2 + mixing.MU / 2 * share @ (q - 1) ** 2  # noqa: B023, E731
+        best = dual_newton(n, p, want, natural, mixing.MU, 1.0)
+        reached = (np.abs((share * best) @ p - want) <= mixing.NEAR * want).all()
+        assert loss(rate) <= loss(best) * 1.05 + 1e-4
+        if reached:
+            assert (np.abs(np.array(list(fit.shares.values())) - want) <= mixing.NEAR * want).all()
+    assert len([1 for t in [targets] if not reached]) == 1  # the last ones are out of reach
+
+
+def test_mixing_posteriors_are_numbers():
+    p = mixing.softmax_of_logistic(np.array([[-2000.0, -1999.0, -3000.0], [900.0, 0.0, -900.0]]))
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1) and p[0, 1] > p[0, 0] > p[0, 2]
 
 
 def test_mixing_edges(spark, edge):
@@ -683,7 +733,10 @@ def test_pipeline_stages(spark, sf_dir, table, labels):
             assert {i for i, _, _ in after} <= before.keys()
         now = out
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
-    assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len([x for x in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if x]) for r in now.collect())
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(entries.token_path())
+    assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in now.collect())
 
 
 def test_pipeline_runs_on_edges(spark, edge, sf_dir):
