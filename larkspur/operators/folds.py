@@ -83,6 +83,16 @@ def rate(schedule: str, eta0: float, alpha: float, t: int, power: float = 0.25)
     raise ValidationError("learning_rate", "unknown", schedule)
 
 
+def _rows(values: Sequence[float], width: int) -> list[list[float]]:
+    flat = [float(v) for v in values]
+    return [flat[i : i + width] for i in range(0, len(flat), width)]
+
+
+def _greatest(weights: Sequence[Sequence[float]], x: Sequence[float]) -> int:
+    scores = [w[0] + sum(a * v for a, v in zip(w[1:], x, strict=True)) for w in weights]
+    return scores.index(max(scores))
+
+
 class SGDRegressor:
     """State [t, intercept, weights...]; the gradient of the weights is clipped to an L2 norm of `clip`."""
 
@@ -101,6 +111,16 @@ class SGDRegressor:
             p += w * v
         return p
 
+    def pack(self, state: list) -> list[float]:
+        return [float(v) for v in state]
+
+    def unpack(self, values: Sequence[float], width: int) -> list:
+        return [int(values[0]), *map(float, values[1:])]
+
+    def error(self, state: list, x: Sequence[float], y: float) -> float:
+        """Squared error of the prediction."""
+        return (self.predict(state, x) - y) ** 2
+
     def _penalty(self, w: float) -> float:
         l1 = {"l1": 1.0, "elasticnet": self.l1_ratio}.get(self.penalty, 0.0)
         l2 = {"l2": 1.0, "elasticnet": 1 - self.l1_ratio}.get(self.penalty, 0.0)
@@ -146,6 +166,16 @@ class SGDClassifier:
     def init(self, width: int) -> list:
         return [0, *[[0.0] * (width + 1) for _ in self.classes]]
 
+    def pack(self, state: list) -> list[float]:
+        return [float(state[0]), *(float(v) for w in state[1:] for v in w)]
+
+    def unpack(self, values: Sequence[float], width: int) -> list:
+        return [int(values[0]), *_rows(values[1:], width + 1)]
+
+    def error(self, state: list, x: Sequence[float], y: float) -> float:
+        """1 for a wrong class, 0 for the right one; the first class with the greatest score."""
+        return float(self.classes[_greatest(state[1:], x)] != int(y))
+
     def learn(self, state: list, x: Sequence[float], y: float) -> None:
         if int(y) not in self.classes:
             return
@@ -175,7 +205,29 @@ class PassiveAggressive:
     def __init__(self, C: float = 1.0, epsilon: float = 0.1, classes: Sequence[int] | None = None):
         self.C, self.epsilon, self.classes = C, epsilon, tuple(classes) if classes else None
 
-    def learn(self, w: list, x: Sequence[float], y: float, sign: float | None = None) -> None:
+    def init(self, width: int) -> list:
+        return [0.0] * (width + 1) if self.classes is None else [[0.0] * (width + 1) for _ in self.classes]
+
+    def pack(self, state: list) -> list[float]:
+        return [float(v) for v in state] if self.classes is None else [float(v) for w in state for v in w]
+
+    def unpack(self, values: Sequence[float], width: int) -> list:
+        return [float(v) for v in values] if self.classes is None else _rows(values, width + 1)
+
+    def error(self, state: list, x: Sequence[float], y: float) -> float:
+        """Squared error, or 1 for a wrong class."""
+        if self.classes is None:
+            return (state[0] + sum(a * v for a, v in zip(state[1:], x, strict=True)) - y) ** 2
+        return float(self.classes[_greatest(state, x)] != int(y))
+
+    def learn(self, state: list, x: Sequence[float], y: float) -> None:
+        if self.classes is None:
+            self._move(state, x, y)
+        elif int(y) in self.classes:
+            for c, w in zip(self.classes, state, strict=True):
+                self._move(w, x, y, 1.0 if int(y) == c else -1.0)
+
+    def _move(self, w: list, x: Sequence[float], y: float, sign: float | None = None) -> None:
         z, norm = w[0], 0.0
         for a, v in zip(w[1:], x, strict=True):
             z += a * v
@@ -192,18 +244,52 @@ class PassiveAggressive:
 
     def fit_keys(self, df: DataFrame, key: str, order: str, features: Sequence[str], target: str) -> DataFrame:
         k, kind = len(features), df.schema[key].dataType.simpleString()
-        if self.classes is None:
-            schema = f"{key} {kind}, b double" + "".join(f", w{i} double" for i in range(k))
-            return ordered_fold(df, key, order, [*features, target], lambda: [0.0] * (k + 1), lambda s, v: self.learn(s, v[:-1], v[-1]), schema, tuple)
-        names = [n for c in self.classes for n in (f"b{c}", *[f"w{c}_{i}" for i in range(k)])]
+        names = ["b", *[f"w{i}" for i in range(k)]] if self.classes is None else [n for c in self.classes for n in (f"b{c}", *[f"w{c}_{i}" for i in range(k)])]
+        schema = f"{key} {kind}" + "".join(f", {n} double" for n in names)
+        return ordered_fold(df, key, order, [*features, target], lambda: self.init(k), lambda s, v: self.learn(s, v[:-1], v[-1]), schema, lambda s: tuple(self.pack(s)))
 
-        def step(s: list, v: tuple) -> None:
-            if int(v[-1]) in self.classes:
-                for c, w in zip(self.classes, s, strict=True):
-                    self.learn(w, v[:-1], v[-1], 1.0 if int(v[-1]) == c else -1.0)
 
-        schema = f"{key} {kind}" + "".join(f", {n} double" for n in names)
-        return ordered_fold(df, key, order, [*features, target], lambda: [[0.0] * (k + 1) for _ in self.classes], step, schema, lambda s: tuple(v for w in s for v in w))
+class OnlineKMeans:
+    """Sequential k-means: the nearest centre (the first on ties) moves to the mean of the rows it has taken.
+
+    A centre's first row replaces it. State [counts, centres]; the target is not read.
+    """
+
+    def __init__(self, centres: Sequence[Sequence[float]]):
+        self.centres = [[float(v) for v in c] for c in centres]
+        if not self.centres:
+            raise ValidationError("centres", "must not be empty", centres)
+
+    def init(self, width: int) -> list:
+        return [[0] * len(self.centres), [list(c) for c in self.centres]]
+
+    def pack(self, state: list) -> list[float]:
+        return [*(float(n) for n in state[0]), *(v for c in state[1] for v in c)]
+
+    def unpack(self, values: Sequence[float], width: int) -> list:
+        k = len(self.centres)
+        return [[int(n) for n in values[:k]], _rows(values[k:], width)]
+
+    @staticmethod
+    def nearest(centres: Sequence[Sequence[float]], x: Sequence[float]) -> tuple[int, float]:
+        gaps = [sum((a - v) ** 2 for a, v in zip(c, x, strict=True)) for c in centres]
+        return gaps.index(min(gaps)), min(gaps)
+
+    def error(self, state: list, x: Sequence[float], y: float | None = None) -> float:
+        """Squared distance to the nearest centre."""
+        return self.nearest(state[1], x)[1]
+
+    def learn(self, state: list, x: Sequence[float], y: float | None = None) -> None:
+        i, _ = self.nearest(state[1], x)
+        state[0][i] += 1
+        eta = 1.0 / state[0][i]
+        state[1][i] = [(1 - eta) * c + eta * v for c, v in zip(state[1][i], x, strict=True)]
+
+    def fit_keys(self, df: DataFrame, key: str, order: str, features: Sequence[str]) -> DataFrame:
+        """key, then n<c>, c<c>_<i> for each centre c."""
+        k, width = len(self.centres), len(features)
+        schema = f"{key} {df.schema[key].dataType.simpleString()}" + "".join(f", n{c} double" for c in range(k)) + "".join(f", c{c}_{i} double" for c in range(k) for i in range(width))
+        return ordered_fold(df, key, order, list(features), lambda: self.init(width), lambda s, v: self.learn(s, v), schema, lambda s: tuple(self.pack(s)))
 
 
 class DDM:
@@ -240,7 +326,9 @@ class DDM:
 
 
 class ADWIN:
-    """Simplified adaptive window: buckets of at most two rows; cut at the first split whose means differ too much."""
+    """Simplified adaptive window: buckets of at most two rows; cut at the first split whose means differ too much, from LEAST rows on."""
+
+    LEAST = 5  # fixed value
 
     def __init__(self, delta: float = 0.002, most: int = 200):
         self.delta, self.most = delta, most
@@ -255,6 +343,8 @@ class ADWIN:
         if len(buckets) > self.most:
             buckets.pop(0)
         n, total = sum(b[0] for b in buckets), sum(b[1] for b in buckets)
+        if n < self.LEAST:
+            return False
         n0 = t0 = 0
         for i, (c, v) in enumerate(buckets[:-1]):
             n0, t0 = n0 + c, t0 + v

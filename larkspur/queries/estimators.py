@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..frame import num
+from ..frame import num, shared_dir
 from ..operators import cluster, selection
 from ..operators.linear import ClassifierModel, LinearModel, LinearRegression, LogisticRegression
 from ..operators.naive_bayes import MultinomialNB, ascii_tokens, vocabulary
@@ -83,8 +83,7 @@ def weight_hash(spark, sf_dir):
 
 @query("model_roundtrip", "SELECT 'intercept' AS name, round(regr_intercept(o_totalprice, o_custkey), 3) + 0.0e0 AS value FROM orders UNION ALL SELECT 'o_custkey', round(regr_slope(o_totalprice, o_custkey), 3) + 0.0e0 FROM orders")
 def model_roundtrip(spark, sf_dir):
-    from_dir = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
-    path = f"{from_dir.rstrip('/')}/model_roundtrip"
+    path = f"{shared_dir(spark).rstrip('/')}/model_roundtrip-{uuid.uuid4().hex}"
     save(spark, LinearRegression().fit(Tables(spark, sf_dir).orders, ["o_custkey"], "o_totalprice"), path)
     return _model(spark, load(spark, path), 3)
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.folds import ADWIN, DDM, PassiveAggressive, SGDClassifier, SGDRegressor
+from ..operators.folds import ADWIN, DDM, OnlineKMeans, PassiveAggressive, SGDClassifier, SGDRegressor
 from .registry import Tables, query, rounded
 
 # x and y of each event; rn numbers a user's events.
-_ROWS = "rows AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, (event_id % 7) / 7.0e0 AS x, (event_id % 3) / 3.0e0 AS z, value / 100 AS y, CAST(event_type = 'purchase' OR event_type = 'click' AS INT) AS c FROM events)"
+def _rows_sql(order: str = "event_id") -> str:
+    return f"rows AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn, (event_id % 7) / 7.0e0 AS x, (event_id % 3) / 3.0e0 AS z, value / 100 AS y, CAST(event_type = 'purchase' OR event_type = 'click' AS INT) AS c FROM events)"
+
+
+_ROWS = _rows_sql()
 
 
 def _events(t):
@@ -19,12 +23,12 @@ def _events(t):
 _SLOPE = {"squared_error": "p - y", "huber": "CASE WHEN abs(p - y) <= 0.1e0 THEN p - y ELSE sign(p - y) * 0.1e0 END", "epsilon_insensitive": "CASE WHEN abs(p - y) <= 0.1e0 THEN 0e0 ELSE sign(p - y) END"}
 
 
-def _sgd_sql(loss: str, select: str) -> str:
+def _sgd_sql(loss: str, select: str, order: str = "event_id") -> str:
     g = "(s * x + 1e-4 * w0)", "(s * z + 1e-4 * w1)"
     norm = f"sqrt({g[0]} ** 2 + {g[1]} ** 2)"
     scale = f"CASE WHEN {norm} > 10 THEN 10 / {norm} ELSE 1 END"
     eta = "(0.05e0 / (rn ** 0.25e0))"
-    return f"""WITH RECURSIVE {_ROWS}, f(user_id, rn, b, w0, w1, p) AS (
+    return f"""WITH RECURSIVE {_rows_sql(order)}, f(user_id, rn, b, w0, w1, p) AS (
   SELECT DISTINCT user_id, 0::BIGINT, 0.0e0, 0.0e0, 0.0e0, NULL::DOUBLE FROM rows
   UNION ALL
   SELECT user_id, rn, b - {eta} * s, w0 - {eta} * {scale} * {g[0]}, w1 - {eta} * {scale} * {g[1]}, CASE WHEN rn > 1 THEN p END
@@ -52,11 +56,11 @@ def prequential_error(spark, sf_dir):
 _MARGIN = {"hinge": "CASE WHEN m < 1 THEN -1e0 ELSE 0e0 END", "squared_hinge": "CASE WHEN m < 1 THEN -2 * (1 - m) ELSE 0e0 END", "perceptron": "CASE WHEN m <= 0 THEN -1e0 ELSE 0e0 END", "log": "-1 / (1 + exp(least(m, 700)))", "modified_huber": "CASE WHEN m >= 1 THEN 0e0 WHEN m >= -1 THEN -2 * (1 - m) ELSE -4e0 END"}
 
 
-def _sgdc_sql(loss: str) -> str:
+def _sgdc_sql(loss: str, order: str = "event_id") -> str:
     """Both one-vs-all parts; the first is the mirror of the second only for symmetric starts, so both are carried."""
     eta = "(0.05e0 / (rn ** 0.25e0))"
     part = lambda k: f"b{k} - {eta} * s{k}, u{k} - {eta} * (s{k} * x + 1e-4 * u{k}), v{k} - {eta} * (s{k} * z + 1e-4 * v{k})"
-    return f"""WITH RECURSIVE {_ROWS}, f(user_id, rn, b0, u0, v0, b1, u1, v1) AS (
+    return f"""WITH RECURSIVE {_rows_sql(order)}, f(user_id, rn, b0, u0, v0, b1, u1, v1) AS (
   SELECT DISTINCT user_id, 0::BIGINT, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0 FROM rows
   UNION ALL
   SELECT user_id, rn, {part(0)}, {part(1)}
@@ -87,7 +91,8 @@ def par_fold(spark, sf_dir):
     return rounded(PassiveAggressive().fit_keys(_events(Tables(spark, sf_dir)), "user_id", "event_id", ["x", "z"], "y"), 7)
 
 
-@query("pac_fold", f"""WITH RECURSIVE {_ROWS}, f(user_id, rn, b0, u0, v0, b1, u1, v1) AS (
+def _pac_sql(order: str = "event_id") -> str:
+    return f"""WITH RECURSIVE {_rows_sql(order)}, f(user_id, rn, b0, u0, v0, b1, u1, v1) AS (
   SELECT DISTINCT user_id, 0::BIGINT, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0 FROM rows
   UNION ALL
   SELECT user_id, rn, b0 + t0, u0 + t0 * x, v0 + t0 * z, b1 + t1, u1 + t1 * x, v1 + t1 * z
@@ -95,7 +100,10 @@ def par_fold(spark, sf_dir):
     FROM (SELECT f.user_id, r.rn, b0, u0, v0, b1, u1, v1, x, z, CASE WHEN c = 0 THEN 1e0 ELSE -1e0 END AS g0, CASE WHEN c = 1 THEN 1e0 ELSE -1e0 END AS g1
       FROM f JOIN rows r ON r.user_id = f.user_id AND r.rn = f.rn + 1)))
 SELECT user_id, round(b0, 7) + 0.0e0 AS b0, round(u0, 7) + 0.0e0 AS w0_0, round(v0, 7) + 0.0e0 AS w0_1, round(b1, 7) + 0.0e0 AS b1, round(u1, 7) + 0.0e0 AS w1_0, round(v1, 7) + 0.0e0 AS w1_1
-FROM f WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM rows GROUP BY 1)""")
+FROM f WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM rows GROUP BY 1)"""
+
+
+@query("pac_fold", _pac_sql())
 def pac_fold(spark, sf_dir):
     return rounded(PassiveAggressive(classes=[0, 1]).fit_keys(_events(Tables(spark, sf_dir)), "user_id", "event_id", ["x", "z"], "c"), 7)
 
@@ -116,7 +124,37 @@ def ddm_fold(spark, sf_dir):
     return DDM().fold_keys(_events(Tables(spark, sf_dir)), "user_id", "event_id", "ok")
 
 
-@query("adwin_fold")
+def _kmeans_sql(order: str = "event_id") -> str:
+    """Two centres from (0, 0) and (1, 1); a tie goes to the first."""
+    return f"""WITH RECURSIVE {_rows_sql(order)}, f(user_id, rn, n0, n1, a0, a1, b0, b1) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 1.0e0, 1.0e0 FROM rows
+  UNION ALL
+  SELECT user_id, rn, n0 + u, n1 + 1 - u, CASE WHEN u = 1 THEN (1 - 1 / (n0 + 1)) * a0 + x / (n0 + 1) ELSE a0 END, CASE WHEN u = 1 THEN (1 - 1 / (n0 + 1)) * a1 + z / (n0 + 1) ELSE a1 END,
+    CASE WHEN u = 0 THEN (1 - 1 / (n1 + 1)) * b0 + x / (n1 + 1) ELSE b0 END, CASE WHEN u = 0 THEN (1 - 1 / (n1 + 1)) * b1 + z / (n1 + 1) ELSE b1 END
+  FROM (SELECT *, CASE WHEN (x - a0) ** 2 + (z - a1) ** 2 <= (x - b0) ** 2 + (z - b1) ** 2 THEN 1 ELSE 0 END AS u
+    FROM (SELECT f.user_id, r.rn, n0, n1, a0, a1, b0, b1, x, z FROM f JOIN rows r ON r.user_id = f.user_id AND r.rn = f.rn + 1)))
+SELECT user_id, n0, n1, round(a0, 7) + 0.0e0 AS c0_0, round(a1, 7) + 0.0e0 AS c0_1, round(b0, 7) + 0.0e0 AS c1_0, round(b1, 7) + 0.0e0 AS c1_1 FROM f WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM rows GROUP BY 1)"""
+
+
+@query("kmeans_online", _kmeans_sql())
+def kmeans_online(spark, sf_dir):
+    return rounded(OnlineKMeans([[0.0, 0.0], [1.0, 1.0]]).fit_keys(_events(Tables(spark, sf_dir)), "user_id", "event_id", ["x", "z"]), 7)
+
+
+@query("adwin_fold", """WITH RECURSIVE rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, CAST(event_type = 'error' AS DOUBLE) AS v FROM events),
+f(user_id, rn, w, drifts) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, CAST([] AS STRUCT(n BIGINT, s DOUBLE)[]), 0::BIGINT FROM rows
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN cut IS NULL THEN w ELSE w[cut + 1:] END, drifts + CAST(cut IS NOT NULL AS BIGINT)
+  FROM (SELECT *, CASE WHEN n >= 5 THEN list_min(list_filter(range(1, len(w)), lambda i:
+          abs(list_sum(list_transform(w[1:i], lambda b: b.s)) / list_sum(list_transform(w[1:i], lambda b: b.n)) - list_sum(list_transform(w[i + 1:], lambda b: b.s)) / list_sum(list_transform(w[i + 1:], lambda b: b.n)))
+          > sqrt(0.5e0 * (1e0 / list_sum(list_transform(w[1:i], lambda b: b.n)) + 1e0 / list_sum(list_transform(w[i + 1:], lambda b: b.n))) * ln(2 / 0.3e0)))) END AS cut
+    FROM (SELECT *, list_sum(list_transform(w, lambda b: b.n)) AS n
+      FROM (SELECT user_id, rn, drifts, CASE WHEN len(w) > 200 THEN w[2:] ELSE w END AS w
+        FROM (SELECT f.user_id, r.rn, f.drifts, CASE WHEN len(w) > 0 AND w[-1].n = 1 THEN list_append(w[1:len(w) - 1], {'n': 2::BIGINT, 's': w[-1].s + r.v}) ELSE list_append(w, {'n': 1::BIGINT, 's': r.v}) END AS w
+          FROM f JOIN rows r ON r.user_id = f.user_id AND r.rn = f.rn + 1)))))
+SELECT user_id, drifts, CAST(list_sum(list_transform(w, lambda b: b.n)) AS BIGINT) AS width, round(list_sum(list_transform(w, lambda b: b.s)) / list_sum(list_transform(w, lambda b: b.n)), 8) + 0.0e0 AS mean
+FROM f WHERE (user_id, rn) IN (SELECT user_id, max(rn) FROM rows GROUP BY 1)""")
 def adwin_fold(spark, sf_dir):
     e = _events(Tables(spark, sf_dir)).withColumn("error", (~F.col("ok")).cast("double"))
     return rounded(ADWIN(delta=0.3).fold_keys(e, "user_id", "event_id", "error"), 8)

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from .. import streaming as S
-from ..operators.folds import SGDRegressor
+from ..frame import shared_dir
+from ..operators.folds import OnlineKMeans, PassiveAggressive, SGDClassifier, SGDRegressor
 from ..operators.linear import LinearModel
+from .online import _events, _kmeans_sql, _pac_sql, _sgd_sql, _sgdc_sql
 from .registry import Tables, frame, query, rnd, rounded
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder in the shared one that the session names, or a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one that the session names."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _files(spark, df, n: int) -> str:
@@ -49,12 +49,50 @@ def stream_linreg(spark, sf_dir):
     return x.select("n", rnd("intercept", 3).alias("intercept"), rnd("slope", 4).alias("slope"))
 
 
-@query("stream_sgdr")
+def _in_batches(spark, sf_dir):
+    """The events as a stream of four micro-batches, by event_id % 4."""
+    path, e = _folder(spark, "stream"), _events(Tables(spark, sf_dir)).withColumn("y", F.col("y").cast("double"))
+    for i in range(4):  # files are taken in the order of their times
+        e.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(spark, path, 1)
+
+
+#: The same order in SQL: batch by batch, by event_id within a batch.
+_BY_BATCH = "event_id % 4, event_id"
+_TRIED = """, firsts AS (SELECT user_id, event_id % 4 AS part, min(rn) - 1 AS rn FROM rows GROUP BY ALL)
+SELECT CAST(part AS INT) AS batch, count(*) AS n, count(f.rn) FILTER (WHERE f.rn > 0) AS tested, round(avg(CASE WHEN f.rn > 0 THEN (b + w0 * x + w1 * z - y) ** 2 END), 6) + 0.0e0 AS mse
+FROM rows JOIN firsts USING (user_id) JOIN f ON f.user_id = rows.user_id AND f.rn = firsts.rn WHERE event_id % 4 = part GROUP BY part"""
+
+
+@query("stream_sgdr", _sgd_sql("squared_error", _TRIED, _BY_BATCH))
 def stream_sgdr(spark, sf_dir):
     """Test-then-train error of each micro-batch."""
-    e = Tables(spark, sf_dir).events.select("user_id", "event_id", ((F.col("event_id") % 7) / F.lit(7.0)).alias("x"), (F.col("value") / 100).alias("y"))
-    e = e.withColumn("part", F.col("event_id") % 4)
-    path = _folder(spark, "stream")
-    e.repartition(4, "part").write.parquet(path)
-    s = S.StreamingSGD(SGDRegressor(eta0=0.05), ["x"], "y", "user_id", "event_id").fit_stream(S.file_stream(spark, path, 1), _folder(spark, "offsets"))
-    return rounded(frame(spark, [(i, n, float(v)) for i, (n, v) in enumerate(s.errors)], "batch int, n long, mse double"))
+    s = S.StreamingFold(SGDRegressor(eta0=0.05), ["x", "z"], "y", "user_id", "event_id")
+    out = s.test_then_train(_in_batches(spark, sf_dir), _folder(spark, "offsets"))
+    return rounded(frame(spark, out, "batch int, n long, tested long, mse double"))
+
+
+def _fitted(spark, sf_dir, learner, target):
+    return S.StreamingFold(learner, ["x", "z"], target, "user_id", "event_id").fit_stream(_in_batches(spark, sf_dir), _folder(spark, "offsets")).result(spark)
+
+
+def _values(df, names, first=0):
+    return rounded(df.select(F.col("k").alias("user_id"), *[F.get("state", F.lit(i + first)).alias(n) for i, n in enumerate(names)]), 7)
+
+
+_TWO = ["b0", "w0_0", "w0_1", "b1", "w1_0", "w1_1"]
+
+
+@query("stream_sgdc", _sgdc_sql("hinge", _BY_BATCH).replace("user_id, rn AS n,", "user_id,"))
+def stream_sgdc(spark, sf_dir):
+    return _values(_fitted(spark, sf_dir, SGDClassifier([0, 1], "hinge", eta0=0.05), "c"), _TWO, 1)
+
+
+@query("stream_pac", _pac_sql(_BY_BATCH))
+def stream_pac(spark, sf_dir):
+    return _values(_fitted(spark, sf_dir, PassiveAggressive(classes=[0, 1]), "c"), _TWO)
+
+
+@query("stream_kmeans", _kmeans_sql(_BY_BATCH))
+def stream_kmeans(spark, sf_dir):
+    return _values(_fitted(spark, sf_dir, OnlineKMeans([[0.0, 0.0], [1.0, 1.0]]), None), ["n0", "n1", "c0_0", "c0_1", "c1_0", "c1_1"])

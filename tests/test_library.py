@@ -222,3 +222,132 @@ def test_windowed_stream(spark, tmp_path, sf_dir):
     w = S.windowed(S.file_stream(spark, path), "ts", "1 day", "1 hour", n=F.count("*"))
     w.writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("days").agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+
+
+def test_positions_over_many_wide_rows(spark):
+    """2M rows with a text, many partitions, adaptive execution: every place once, whatever the second reading would have made of them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",)}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(2_000_000).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.col("id").cast("string"), 8).alias("text"))
+        out = selection.positions(df, [F.col("k"), F.col("id")])
+        got = out.agg(F.count("*"), F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.sum("pos")).first()
+        n = 2_000_000
+        assert tuple(got) == (n, 1, n, n, n * (n + 1) // 2)
+        folds = [r["count"] for r in selection.kfold(df, "id", 5, seed=1).groupBy("fold").count().collect()]
+        assert folds == [400_000] * 5
+        assert selection.bagging(df, "id", 0.3, 2).count() == 600_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_first_rows_against_sorting(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice([0.0, 0.5, -0.5, r.gauss(0, 1) * 10 ** r.randrange(-3, 9)]), "ab"[i % 7 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g double, c string").repartition(5)
+    ranks = [1, 2, 700, 1500, 2999, 3000]
+    order = [i for i, _, _ in sorted(rows, key=lambda x: (-abs(x[1]), x[0]))]
+    for (_, n), cond in selection.first_rows(df, -F.abs("g"), "id", {None: ranks}).items():
+        assert {x["id"] for x in df.where(cond).collect()} == set(order[:n])
+    top = selection.goss(df, "id", "g", 0.1, 0.2, 3).collect()
+    assert {x["id"] for x in top if x["amplify"] == 1.0} == set(order[:300]) and len(top) == 300 + 540
+    for c, k in (("a", 4), ("b", 4)):
+        got = sorted((x["id"], x["fold"]) for x in selection.stratified_kfold(df, "id", "c", k).where(F.col("c") == c).collect())
+        n, want = len(got), []
+        for f in range(k):
+            want += [f] * (n // k + (f < n % k))
+        assert [f for _, f in got] == want
+    text = df.withColumn("name", F.format_string("n%06d", "id"))  # orders that are no numbers take the ranked rows
+    for got in (selection.kfold(text, "name", 7), selection.kfold(df.withColumn("name", F.lit(1)), "name", 7)):
+        assert sorted(x["count"] for x in got.groupBy("fold").count().collect()) == [428, 428, 428, 429, 429, 429, 429]
+    assert selection.mini_batch(df, "id", 10, 1).count() == 10 and selection.mini_batch(df, "id", 10**6, 1).count() == 3000
+    assert selection.kfold(df.limit(0), "id", 3).count() == 0 and selection.goss(df.limit(0), "id", "g", 0.1, 0.1, 1).count() == 0
+
+
+def test_cross_validate_any_estimator(spark):
+    df = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), ((F.col("id") % 7) * 2 + F.col("id") % 3).cast("double").alias("y"))
+    own = selection.cross_validate_with(df, "id", 4, lambda d: LinearRegression().fit(d, ["x"], "y"), lambda m, d: {"r2": m.score(d, "y"), "n": d.count()})
+    fast = selection.cross_validate(df, "id", ["x"], "y", 4)
+    assert [r["n"] for r in own] == [15] * 4 and [r["r2"] for r in own] == pytest.approx([r["r2"] for r in fast])
+
+
+def test_boosting_kinds(spark):
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("c"), F.when(F.col("id") % 10 == 3, F.col("id") % 4).otherwise(0).cast("double").alias("s"), F.when(F.col("id") % 10 == 7, F.col("id") % 6).otherwise(0).cast("double").alias("t"))
+    df = df.withColumn("y", F.col("x") / 10 + F.when(F.col("c").isin(1.0, 4.0), 3.0).otherwise(0.0) + F.col("s") - F.col("t"))
+    features = ["x", "c", "s", "t"]
+    fit = lambda **p: B.GradientBoosting(**({"max_depth": 3, "min_data": 2, "rounds": 2, "learning_rate": 0.5} | p)).fit(df, features, "y", "id")
+    mse = lambda m: m.score(df).agg(F.avg((F.col("raw0") - F.col("y")) ** 2)).first()[0]
+    nodes = lambda m: [(n.feature, n.threshold, n.left, n.right, n.count, round(n.value, 6)) for t in m.trees for n in t.nodes]
+    plain = fit(bundle=False)
+    assert nodes(fit()) == nodes(plain)  # bundles change nothing
+    cat = fit(categorical=["c"])
+    assert next(n for n in cat.trees[0].nodes if not n.leaf).categories in ([0, 2, 3], [1, 4]) and mse(cat) < mse(plain)
+    dart = fit(boosting="dart", drop_rate=0.5, skip_drop=0.0, rounds=3)
+    assert len(dart.trees) == 3 and mse(dart) < df.agg(F.var_pop("y")).first()[0]
+    forest = fit(boosting="rf", bagging_freq=1, bagging_fraction=0.7)
+    assert len(forest.trees) == 2 and mse(forest) < df.agg(F.var_pop("y")).first()[0]
+    only = fit(interaction=[["x", "c"], ["s"], ["t"]], rounds=1)
+    for t in only.trees:
+        for n in t.nodes:
+            for child in (n.left, n.right):
+                if not n.leaf and not t.at(child).leaf:
+                    assert {n.feature, t.at(child).feature} <= {0, 1} or n.feature == t.at(child).feature
+
+
+def test_boosting_over_many_rounds(spark):
+    import time
+
+    df = spark.range(2000).select("id", (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 31).cast("double").alias("z")).withColumn("y", F.sin("x") + F.col("z") / 10)
+    times, began = [], time.monotonic()
+
+    def note(r):
+        nonlocal began
+        times.append(time.monotonic() - began)
+        began = time.monotonic()
+
+    m = B.GradientBoosting(rounds=12, max_depth=1, min_data=5).fit(df, ["x", "z"], "y", "id", callbacks=[note])
+    assert len(m.trees) == 12
+    assert min(times[8:]) < 2 * sorted(times[2:6])[1] + 1  # a round does not get slower
+    whole = m.score(df).agg(F.avg((F.col("raw0") - F.col("y")) ** 2)).first()[0]
+    part = df.select("y", m.raw(best=2)[0].alias("raw0")).agg(F.avg((F.col("raw0") - F.col("y")) ** 2)).first()[0]
+    assert whole < part
+
+
+def test_streaming_fits_go_on_after_a_restart(spark, tmp_path):
+    from larkspur import streaming as S
+    from larkspur.operators.folds import OnlineKMeans, PassiveAggressive, SGDClassifier, SGDRegressor
+
+    rows = [(i % 3, i, (i * 7 % 11) / 11, float(i * 5 % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, o int, x double, y double")
+    for learner, target in ((SGDRegressor(), "y"), (SGDClassifier([0, 1, 2]), "y"), (PassiveAggressive(), "y"), (PassiveAggressive(classes=[0, 1, 2]), "y"), (OnlineKMeans([[0.0], [1.0]]), None)):
+        folder = str(tmp_path / type(learner).__name__ / str(getattr(learner, "classes", "")))
+        make = lambda: S.StreamingFold(learner, ["x"], target, "k", "o", folder)  # noqa: B023, E731
+        one, two = make(), make()
+        one.update(df.where("o < 100"), 0)
+        one.update(df.where("o >= 100 and o < 200"), 1)
+        two.update(df.where("o >= 100 and o < 200"), 1)  # run again after a failure
+        two.update(df.where("o >= 200"), 2)
+        got = {r["k"]: (r["seen"], list(r["state"])) for r in two.result(spark).collect()}
+        for k in range(3):
+            state = learner.init(1)
+            for kk, _, x, y in rows:
+                if kk == k:
+                    learner.learn(state, [x], y)
+            assert got[k][0] == 100 and got[k][1] == pytest.approx(learner.pack(state))
+    lin = S.StreamingLinearRegression(["x"], "y", str(tmp_path / "lin"))
+    lin.update(df.where("o < 100"), 0)
+    again = S.StreamingLinearRegression(["x"], "y", str(tmp_path / "lin"))
+    again.update(df.where("o >= 100"), 1)
+    again.update(df.where("o >= 100"), 1)
+    whole = LinearRegression().fit(df, ["x"], "y")
+    assert again.rows == 300 and again.model().coefficients == pytest.approx(whole.coefficients)
+
+
+def test_adwin_needs_five_rows():
+    from larkspur.operators.folds import ADWIN
+
+    s, a = [[], 0], ADWIN(delta=0.3)
+    assert [a.update(s, v) for v in (0.0, 0.0, 1.0, 1.0)] == [False] * 4 and a.update(s, 1.0)

@@ -10,7 +10,7 @@ def test_query_matches_sql(name, spark, sf_dir):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(QUERIES) - set(ORACLES) == {"logreg_lbfgs", "gbt_regression", "adwin_fold", "stream_sgdr"}
+    assert set(QUERIES) - set(ORACLES) == {"logreg_lbfgs", "gbt_regression"}
 
 
 def test_boosting_loss_falls(spark, sf_dir):
@@ -31,21 +31,6 @@ def test_logistic_optimum(spark, sf_dir):
     assert np.abs(g).max() < 1e-5
 
 
-def test_adwin_against_plain_loop(spark, sf_dir):
-    from larkspur.operators.folds import ADWIN
-    from larkspur.queries.online import _events
-    from larkspur.queries.registry import Tables
-
-    got = {r["user_id"]: (r["drifts"], r["width"]) for r in QUERIES["adwin_fold"](spark, sf_dir).collect()}
-    rows = sorted(_events(Tables(spark, sf_dir)).select("user_id", "event_id", "ok").collect(), key=lambda r: r["event_id"])
-    for user in got:
-        s = [[], 0]
-        for r in rows:
-            if r["user_id"] == user:
-                ADWIN(delta=0.3).update(s, 0.0 if r["ok"] else 1.0)
-        assert got[user] == (s[1], sum(b[0] for b in s[0]))
-
-
 def test_stream_sgd_covers_all_rows(spark, sf_dir):
     out = QUERIES["stream_sgdr"](spark, sf_dir).collect()
     assert sum(r["n"] for r in out) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
