@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 from bisect import bisect_left
 from collections.abc import Callable, Sequence
@@ -66,10 +67,16 @@ ALIASES = {other: name for name, others in NAMES.items() for other in others.spl
 PASSED_OVER = set("n_jobs num_threads num_thread nthread verbosity verbose deterministic force_row_wise force_col_wise device device_type tree_learner tree_type tree num_machines num_machine local_listen_port local_port time_out network_timeout machine_list_file machine_list_filename machine_list mlist importance_type metric metrics metric_types".split())
 
 
+def snake(name: str) -> str:
+    """CamelCase as snake_case."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
+
+
 def canonical(params: dict) -> dict:
     """Parameters under their own names; a name given twice with different values is refused."""
     out: dict = {}
     for k, v in params.items():
+        k = k if k in NAMES else snake(k)
         name = ALIASES.get(k, k)
         if name in PASSED_OVER:
             continue

@@ -50,6 +50,22 @@ def log_loss(y: str = "y", p: str = "p") -> Column:
     return F.avg(-(a * F.log(q) + (1 - a) * F.log(1 - q)))
 
 
+def multiclass_log_loss(y: str, probabilities: list[str]) -> Column:
+    """y is the index of the class; its probability, clipped, scaled by the row's sum."""
+    whole = sum((num(p) for p in probabilities[1:]), num(probabilities[0]))
+    said = F.get(F.array(*[num(p) for p in probabilities]), num(y).cast("int")) / whole
+    return F.avg(-F.log(F.least(F.greatest(said, F.lit(CLIP)), F.lit(1 - CLIP))))
+
+
+def first_column(df: DataFrame, *columns: str, only: bool = False) -> DataFrame:
+    """Array columns (rows of a matrix) as their first numbers; with `only`, other widths than one are refused."""
+    if only:
+        wide = df.where(sum(((F.size(c) != 1).cast("int") for c in columns), F.lit(0)) > 0)
+        if not wide.limit(1).isEmpty():
+            raise ValidationError(", ".join(columns), "rows must have one column")
+    return df.withColumns({c: F.get(F.col(c), F.lit(0)).cast("double") for c in columns})
+
+
 def check_binary(df: DataFrame, y: str = "y") -> DataFrame:
     if not df.where(~num(y).isin(0.0, 1.0)).limit(1).isEmpty():
         raise ValidationError(y, "labels must be 0 or 1")

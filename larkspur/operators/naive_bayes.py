@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..errors import ValidationError
+from ..frame import written
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -44,8 +45,11 @@ class CountsModel:
         return counted.select("class", "token", F.log(p.cast("double")).alias("log_prob"))
 
     def joint(self, tokens: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-        """doc, class, score = prior + sum of count * log_prob. Tokens outside the vocabulary add nothing."""
-        scored = tokens.join(self.log_probs(), "token").groupBy("doc", "class").agg(F.sum(F.col("n") * F.col("log_prob")).alias("s"))
+        """doc, class, score = prior + sum of count * log_prob. Tokens outside the vocabulary add nothing.
+
+        The model is written once; Spark broadcasts it where it is small.
+        """
+        scored = tokens.join(written(self.log_probs(), "log_probs"), "token").groupBy("doc", "class").agg(F.sum(F.col("n") * F.col("log_prob")).alias("s"))
         docs = (docs if docs is not None else tokens).select("doc").distinct()
         every = docs.join(F.broadcast(self.priors()), how="cross")  # a row for each class
         return every.join(scored, ["doc", "class"], "left").select("doc", "class", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score"))

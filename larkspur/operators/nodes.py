@@ -220,6 +220,38 @@ class Ensemble:
         return df.withColumn(to, total)
 
 
+def to_text(model: Ensemble) -> str:
+    """The text form that from_text reads. The start score goes into the first tree of each class, as the form has no place for it."""
+    head = {"num_class": model.classes, "num_tree_per_iteration": model.classes, "max_feature_idx": len(model.features) - 1, "objective": model.objective, "feature_names": " ".join(model.features)}
+    out = ["tree", "version=v4", *(f"{k}={v}" for k, v in head.items()), ""]
+    trees = model.trees or [Tree([Node(0)]) for _ in model.init]
+    for number, t in enumerate(trees):
+        add = model.init[number % model.classes] if number < model.classes else 0.0
+        inner, leaves = [n for n in t.nodes if not n.leaf], [n for n in t.nodes if n.leaf]
+        place = {n.node_id: i for i, n in enumerate(inner)} | {n.node_id: -i - 1 for i, n in enumerate(leaves)}
+        edges, bits, thresholds, kinds = [0], [], [], []
+        for n in inner:
+            if n.categories is None:
+                thresholds.append(repr(float(n.threshold)))
+            else:
+                thresholds.append(str(len(edges) - 1))
+                words = [0] * (max(n.categories, default=0) // 32 + 1)
+                for c in n.categories:
+                    words[c // 32] |= 1 << c % 32
+                bits += words
+                edges.append(len(bits))
+            kinds.append(int(n.categories is not None) | 2 * n.default_left | ("none", "zero", "nan").index(n.missing) << 2)
+        line = lambda name, values: f"{name}={' '.join(map(str, values))}"
+        out += [f"Tree={number}", f"num_leaves={len(leaves)}", f"num_cat={len(edges) - 1}"]
+        if inner:
+            out += [line("split_feature", [n.feature for n in inner]), line("split_gain", [repr(float(n.gain)) for n in inner]), line("threshold", thresholds), line("decision_type", kinds), line("left_child", [place[n.left] for n in inner]), line("right_child", [place[n.right] for n in inner])]
+        out += [line("leaf_value", [repr(float(n.value + add)) for n in leaves]), line("leaf_count", [repr(float(n.count)) for n in leaves])]
+        if bits:
+            out += [line("cat_boundaries", edges), line("cat_threshold", bits)]
+        out += ["shrinkage=1", ""]
+    return "\n".join([*out, "end of trees", ""])
+
+
 def _numbers(text: str, kind=float) -> list:
     return [kind(v) for v in text.split()]
 

@@ -7,9 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
-from ..operators.nodes import Ensemble, Node, Tree, from_json_dump, from_text
+from ..operators.nodes import Ensemble, Node, Tree, from_json_dump, from_text, to_text
 from .estimators import _TF, _TX, _tree_rows
-from .registry import Tables, frame, query, rnd, rounded
+from .registry import frame, ORACLES, query, rnd, rounded, Tables
 
 # Objectives over events: y positive, f a raw score.
 _G = "(SELECT event_type, value / 100 + 0.1e0 AS y, (event_id % 11) / 11.0e0 AS f, CAST(event_id % 2 AS DOUBLE) AS b FROM events)"
@@ -399,3 +399,32 @@ def efb_unbundle(spark, sf_dir):
     back = B.unbundle(F.col("v"), ["a", "b"])
     x = x.select("a", "b", back["a"].alias("a2"), back["b"].alias("b2"))
     return x.agg(rnd(F.avg("a2")).alias("a"), rnd(F.avg("b2")).alias("b"), F.sum(((F.abs(F.col("a") - F.col("a2")) > 1e-9) | (F.abs(F.col("b") - F.col("b2")) > 1e-9)).cast("long")).alias("wrong"))
+
+
+@query("gbt_text_save", ORACLES["gbt_predict_nan"])
+def gbt_text_save(spark, sf_dir):
+    """Written as text and read again."""
+    return from_text(to_text(_FIX)).score(_ab(Tables(spark, sf_dir), True)).groupBy("l_returnflag").agg(rnd(F.avg("raw0"), 8).alias("raw"))
+
+
+def _rounds_sql(n: int) -> str:
+    """n rounds of one split each: loss of the rows after each of them."""
+    out, losses = [f"r0 AS (SELECT f0, f1, f2, y, avg(y) OVER () AS f FROM {_BX})"], []
+    for i in range(n):
+        sides = " UNION ALL ".join(f"SELECT {k} AS feature, f{k} AS v, y, f FROM r{i}" for k in range(3))
+        out.append(f"""s{i} AS (SELECT feature, (v + nx) / 2 AS threshold, -gl / (hl + 1e-10) * 0.5e0 AS lv, -(gt - gl) / (ht - hl + 1e-10) * 0.5e0 AS rv FROM (
+  SELECT feature, v, lead(v) OVER w AS nx, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht
+  FROM (SELECT feature, v, sum(f - y) AS g, count(*)::DOUBLE AS h FROM ({sides}) GROUP BY ALL) WINDOW w AS (PARTITION BY feature ORDER BY v))
+  WHERE nx IS NOT NULL ORDER BY round(0.5e0 * (gl * gl / hl + (gt - gl) ** 2 / (ht - hl) - gt * gt / ht), 9) DESC, feature, threshold LIMIT 1)""")
+        out.append(f"r{i + 1} AS (SELECT f0, f1, f2, y, f + CASE WHEN CASE feature WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END <= threshold THEN lv ELSE rv END AS f FROM r{i}, s{i})")
+        losses.append(f"SELECT {i} AS round, round(avg((f - y) ** 2), 8) + 0.0e0 AS mse FROM r{i + 1}")
+    return f"WITH {', '.join(out)} {' UNION ALL '.join(losses)}"
+
+
+@query("gbt_rounds", _rounds_sql(3))
+def gbt_rounds(spark, sf_dir):
+    """Loss after each of three rounds of one split."""
+    t, losses = Tables(spark, sf_dir), []
+    rows, booster = _rows(t), B.GradientBoosting(rounds=3, max_depth=1, num_leaves=2, min_data=1, learning_rate=0.5)
+    booster.fit(rows, _TF, "y", "o_orderkey", callback=lambda i, m: losses.append((i, booster.loss(rows, m, "y"))))
+    return rounded(frame(spark, losses, "round int, mse double"), 8)

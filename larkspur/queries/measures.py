@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from .registry import Tables, query, rnd, rounded
+from .registry import ORACLES, query, rnd, rounded, Tables
 
 # Prices against a fixed linear rule; some targets are made zero for the percentage error.
 _RP = "(SELECT l_extendedprice AS y, 1000 * l_quantity + 5000 * l_discount - 2000 * l_tax AS p FROM lineitem)"
@@ -129,3 +129,32 @@ def metric_average_precision(spark, sf_dir):
 @query("metric_map", f"SELECT round(avg(ap), 8) + 0.0e0 AS map FROM ({_AP})")
 def metric_map(spark, sf_dir):
     return M.average_precision(_ranking(Tables(spark, sf_dir))).agg(rnd(F.avg("ap"), 8).alias("map"))
+
+
+# Matrix forms: columns of arrays.
+
+
+def _as_matrix(df, *columns):
+    return df.withColumns({c: F.array(F.col(c).cast("double")) for c in columns})
+
+
+@query("metric_auc_matrix", ORACLES["metric_auc"])
+def metric_auc_matrix(spark, sf_dir):
+    return rounded(M.auc(M.first_column(_as_matrix(_events(Tables(spark, sf_dir)), "y", "score"), "y", "score")), 8)
+
+
+@query("metric_ndcg_matrix", ORACLES["metric_ndcg"])
+def metric_ndcg_matrix(spark, sf_dir):
+    return rounded(M.ndcg(M.first_column(_as_matrix(_ranking(Tables(spark, sf_dir)), "rel", "score"), "rel", "score")), 8)
+
+
+@query("metric_mse_matrix", "SELECT round(avg((l_quantity - 25) ** 2), 6) + 0.0e0 AS mse FROM lineitem")
+def metric_mse_matrix(spark, sf_dir):
+    x = _as_matrix(Tables(spark, sf_dir).lineitem.select(F.col("l_quantity").alias("y"), F.lit(25.0).alias("p")), "y", "p")
+    return rounded(M.regression(M.first_column(x, "y", "p", only=True), "mse"))
+
+
+@query("metric_multi_logloss", "SELECT round(avg(-ln(greatest(least(CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 0.5e0 END / (a + b + 0.5e0), 1 - 1e-15), 1e-15))), 8) + 0.0e0 AS loss FROM (SELECT event_id, (event_id % 11) / 11.0e0 AS a, (event_id % 7 + 1) / 8.0e0 AS b FROM events)")
+def metric_multi_logloss(spark, sf_dir):
+    e = Tables(spark, sf_dir).events.select((F.col("event_id") % 3).alias("y"), ((F.col("event_id") % 11) / F.lit(11.0)).alias("a"), ((F.col("event_id") % 7 + 1) / F.lit(8.0)).alias("b"), F.lit(0.5).alias("c"))
+    return rounded(e.agg(M.multiclass_log_loss("y", ["a", "b", "c"]).alias("loss")), 8)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..frame import guard_counts, num
+from ..frame import guard_counts, num, shared_dir
 from ..functions import numeric as N
 from ..operators import selection
 from ..operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, task_type
-from ..sources import chunks, table
+from ..sources import chunks, csv, rows_between, table, write_chunks
 from .registry import Tables, frame, query, rnd, rounded
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -185,3 +187,23 @@ def softmax(spark, sf_dir):
 def numeric_helpers(spark, sf_dir):
     q, t, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     return Tables(spark, sf_dir).lineitem.agg(rnd(F.avg(N.safe_divide(t, d)), 8).alias("safe"), rnd(F.avg(N.clip(q, 5, 40)), 8).alias("clipped"), rnd(F.avg(N.clip_norm([q, t], 10)[0]), 8).alias("g"), rnd(F.avg(N.safe_log(d)), 8).alias("log"))
+
+
+@query("csv_scan", "SELECT r_regionkey, r_name, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY ALL")
+def csv_scan(spark, sf_dir):
+    """Tables written as CSV and read with a schema."""
+    t, base = Tables(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    t.region.select("r_regionkey", "r_name").write.csv(f"{base}/region", header=True)
+    t.nation.select("n_nationkey", "n_regionkey").write.csv(f"{base}/nation", header=True)
+    region, nation = csv(spark, f"{base}/region", "r_regionkey long, r_name string"), csv(spark, f"{base}/nation", "n_nationkey long, n_regionkey long")
+    r = region.where("r_name <> 'ASIA'").join(F.broadcast(nation), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows
+    return r.groupBy(F.col("r_regionkey").cast(t.region.schema["r_regionkey"].dataType).alias("r_regionkey"), "r_name").agg(F.count("*").alias("nations"))
+
+
+@query("chunk_replace", "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS chunk, count(*) AS n, round(sum(CASE WHEN floor(o_orderkey / 1000) = 1 THEN 2 * o_totalprice ELSE o_totalprice END), 2) + 0.0e0 AS total FROM orders GROUP BY 1")
+def chunk_replace(spark, sf_dir):
+    """One chunk of a written table put in the place of the old one."""
+    o, path = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice"), f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    write_chunks(o, "o_orderkey", 1000, path)
+    write_chunks(rows_between(o, "o_orderkey", 1000, 2000).withColumn("o_totalprice", 2 * F.col("o_totalprice")), "o_orderkey", 1000, path, replace=True)
+    return spark.read.parquet(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"))

@@ -57,3 +57,9 @@ def rows_between(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
 def chunks(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with chunk = floor(key / size), for keys that are dense from 0."""
     return df.withColumn("chunk", F.floor(F.col(key) / size).cast("long"))
+
+
+def write_chunks(df: DataFrame, key: str, size: int, path: str, replace: bool = False) -> None:
+    """Rows in folders by chunk. With replace, the chunks that df holds take the place of those at path, and the others stay."""
+    out = chunks(df, key, size).write.partitionBy("chunk").mode("overwrite")
+    out.option("partitionOverwriteMode", "dynamic" if replace else "static").parquet(path)

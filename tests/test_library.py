@@ -351,3 +351,54 @@ def test_adwin_needs_five_rows():
 
     s, a = [[], 0], ADWIN(delta=0.3)
     assert [a.update(s, v) for v in (0.0, 0.0, 1.0, 1.0)] == [False] * 4 and a.update(s, 1.0)
+
+
+def test_boosting_facades_and_callbacks(spark, tmp_path):
+    from larkspur.operators import training as R
+
+    df = spark.range(120).select("id", (F.col("id") % 12).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"))
+    df = df.withColumn("y", F.col("x") * 2 + F.col("z")).withColumn("c", F.when(F.col("x") < 4, "low").when(F.col("x") < 8, "mid").otherwise("top")).withColumn("two", F.col("x") >= 6)
+    seen, rates, saved = {}, [], []
+    small = {"max_depth": 2, "min_data": 3, "NumIterations": 3, "eta": 0.5, "n_jobs": 4}
+    m = R.train(small, df, ["x", "z"], "y", "id", valid=df, callbacks=[R.record(seen), R.learning_rates([0.5, 0.1, 0.1]), lambda r: rates.append(r.params["learning_rate"]), R.checkpoint(lambda model, i: saved.append((i, len(model.trees))), 2, True)])
+    assert len(m.trees) == 3 and len(seen["valid"]) == 3 and seen["valid"] == sorted(seen["valid"], reverse=True) and rates == [0.1, 0.1, 0.1] and saved == [(1, 2)]
+    assert len(R.train(small, df, ["x", "z"], "y", "id", callbacks=[R.time_limit(0.0)]).trees) == 1
+    r = R.BoostedRegressor(**small).fit(df, ["x", "z"], "y", "id")
+    assert r.score(df, "y") > 0.6 and r.predict(df).columns == [*df.columns, "prediction"]
+    for target in ("c", "two"):
+        c = R.BoostedClassifier(**small).fit(df, ["x", "z"], target, "id")
+        p = c.predict_proba(df).select([f"p{i}" for i in range(len(c.labels))]).collect()
+        assert c.score(df, target) > 0.95 and all(sum(x) == pytest.approx(1) for x in p)
+    with pytest.raises(ValueError):
+        R.BoostedClassifier().fit(df.where("c = 'low'"), ["x"], "c", "id")
+    out = R.cv(small, df, ["x", "z"], "y", "id", 2, seed=1)
+    assert len(out["losses"]) == 2 and out["mean"] == pytest.approx(sum(out["losses"]) / 2)
+    best, model = R.quick(df, ["x", "z"], "y", "id", [{"rounds": 1}, {"rounds": 3}], 2, max_depth=2, min_data=3, learning_rate=0.5)
+    assert best["rounds"] == 3 and len(model.trees) == 3
+    assert R.plateau([9, 1, 1, 1, 1, 1], 0.1) and not R.plateau([1, 1], 0.1) and R.rising([1, 2, 3, 4, 5]) and not R.rising([1, 2, 2, 4, 5])
+    assert B.canonical({"numLeaves": 3, "MaxBin": 9, "verbosity": 1}) == {"num_leaves": 3, "max_bin": 9}
+    from larkspur.operators.nodes import from_text, to_text
+
+    for model in (m, B.GradientBoosting(**(B.canonical(small) | {"categorical": ["z"], "rounds": 1})).fit(df, ["x", "z"], "y", "id")):
+        a, b = (sorted(round(x["raw0"], 9) for x in e.score(df).select("raw0").collect()) for e in (model, from_text(to_text(model))))
+        assert a == b
+
+
+def test_mini_batch_k_means(spark):
+    import numpy as np
+
+    from larkspur.operators.cluster import KMeans, MiniBatchKMeans
+
+    r = np.random.Generator(np.random.PCG64(3))
+    at = np.array([[0, 0], [10, 0], [0, 10]])
+    x = np.concatenate([r.normal(c, 0.5, (60, 2)) for c in at])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for init in ("k-means++", "random"):
+        m = MiniBatchKMeans(3, batch_size=30, max_iter=6, n_init=2, patience=2, init=init).fit(df, "v", "id")
+        if init == "k-means++":
+            assert sorted(np.round(m.centres / 10).astype(int).tolist()) == sorted((at // 10).tolist()) and m.inertia < 150
+        assert m.predict(df, "v").select("cluster").distinct().count() <= 3 and {"d0", "d1", "d2"} <= set(m.transform(df, "v").columns)
+    start = KMeans(3, seed=1).start(df, "v", "id")
+    p = MiniBatchKMeans(3).partial_fit(df.where("id % 2 = 0"), "v", "id").partial_fit(df.where("id % 2 = 1"), "v", "id")
+    near = ((x[:, None] - start[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert p.counts.sum() == 180 and np.abs(p.centres - np.array([x[near == i].mean(axis=0) for i in range(3)])).max() < 0.5
