@@ -7,7 +7,8 @@ the value: a hit at 0 that spans it all is its type, whatever was declared; othe
 store() writes a payload losslessly as 8-bit samples of a mono WAV file; payload_of() reads the samples of a stored file back.
 
 Defined results: null and empty values have no media and keep the declared type; hits that no validator confirms are ignored;
-truncated files are not confirmed; equal values give equal results; an empty table gives an empty table.
+truncated files are not confirmed, nor are Ogg pages of a wrong checksum or of several streams in turns; FLAC, which does not say
+where it ends, ends where the next medium begins; equal values give equal results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
 
 
 def _flac(b: bytes, at: int) -> int | None:
-    """Only the metadata has lengths; the frames run to the end of the value."""
+    """The end of the metadata: only that has lengths. The frames run to the next medium, or to the end of the value."""
     k, first = at + 4, True
     while k + 4 <= len(b):
         kind, size = b[k], int.from_bytes(b[k + 1 : k + 4], "big")
@@ -125,20 +126,43 @@ def _flac(b: bytes, at: int) -> int | None:
             return None
         k, first = k + 4 + size, False
         if kind & 0x80:
-            return len(b) if k < len(b) and b[k] == 0xFF else None
+            return k if k < len(b) and b[k] == 0xFF else None
     return None
 
 
+@cache
+def _crc_table() -> list[int]:
+    """Of the checksum of Ogg pages: polynomial 0x04c11db7, highest bit first."""
+    out = []
+    for i in range(256):
+        c = i << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+        out.append(c)
+    return out
+
+
+def page_checksum(page: bytes) -> int:
+    """Of an Ogg page whose own checksum counts as zero."""
+    table, c = _crc_table(), 0
+    for x in page[:22] + bytes(4) + page[26:]:
+        c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ x]
+    return c
+
+
 def _ogg(b: bytes, at: int) -> int | None:
     k, serial = at, None
     while k + 27 <= len(b) and b[k : k + 4] == b"OggS" and b[k + 4] == 0:
         flags, parts = b[k + 5], b[k + 26]
         if serial is None and not flags & 2:
             return None
-        serial = serial or b[k + 14 : k + 18]
-        k += 27 + parts + sum(b[k + 27 : k + 27 + parts])
-        if k > len(b):
+        if serial is not None and b[k + 14 : k + 18] != serial:
+            return None
+        serial = b[k + 14 : k + 18]
+        stop = k + 27 + parts + sum(b[k + 27 : k + 27 + parts])
+        if stop > len(b) or struct.unpack_from("<I", b, k + 22)[0] != page_checksum(b[k:stop]):
             return None
+        k = stop
         if flags & 4:
             return k
     return None
@@ -155,6 +179,8 @@ FORMATS = {
     b"fLaC": ("audio/flac", _flac),
     b"OggS": ("audio/ogg", _ogg),
 }
+#: Formats that do not say where they end.
+OPEN = {"audio/flac"}
 
 
 @cache
@@ -170,14 +196,22 @@ def _automaton():
 
 def sniff(value: bytes | None) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the outermost confirmed media in a value."""
-    out, end = [], 0
-    for last, magic in sorted(((i - len(m) + 1, m) for i, m in _automaton().iter((value or b"").decode("latin-1"))), key=lambda x: (x[0], -len(x[1]))):
-        if last >= end:
+    out, end, last = [], 0, None
+    for at, magic in sorted(((i - len(m) + 1, m) for i, m in _automaton().iter((value or b"").decode("latin-1"))), key=lambda x: (x[0], -len(x[1]))):
+        if at >= end:
             kind, validate = FORMATS[magic]
-            stop = validate(value, last)
+            stop = validate(value, at)
             if stop is not None:
-                out.append((last, stop - last, kind))
+                if last is not None:
+                    out.append((last[0], at - last[0], last[1]))
+                    last = None
+                if kind in OPEN:
+                    last = (at, kind)
+                else:
+                    out.append((at, stop - at, kind))
                 end = stop
+    if last is not None:
+        out.append((last[0], len(value) - last[0], last[1]))
     return out
 
 

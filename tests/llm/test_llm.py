@@ -427,6 +427,8 @@ GIF = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff!\xf9\x04\x00\
 JPEG = b"\xff\xd8\xff\xe0\x00\x04JF\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00?\x00\xaa\xff\x00\xbb\xff\xd9"
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"
 OGG = b"OggS\0\x06" + bytes(8) + b"abcd" + bytes(8) + b"\x01\x03xyz"
+OGG = OGG[:22] + struct.pack("<I", media.page_checksum(OGG)) + OGG[26:]
+FLAC = b"fLaC\x00\x00\x00\x22" + bytes(34) + b"\x84\x00\x00\x04abcd" + b"\xff\xf8frames"
 
 
 def test_sniffing_carves_and_corrects(spark):
@@ -435,6 +437,10 @@ def test_sniffing_carves_and_corrects(spark):
         assert media.sniff(f) == [(0, len(f), kind)], kind
         assert media.sniff(f[:-1]) == [], kind
         assert media.sniff(b"xx" + f + b"BM RIFF GIF89a") == [(2, len(f), kind)], kind
+    wrong = OGG[:-1] + b"!"
+    assert media.sniff(wrong) == [] and media.sniff(OGG + OGG) == [(0, len(OGG), "audio/ogg"), (len(OGG), len(OGG), "audio/ogg")]
+    assert media.sniff(FLAC) == [(0, len(FLAC), "audio/flac")]
+    assert media.sniff(b"x" + FLAC + OGG + FLAC + GIF) == [(1, len(FLAC), "audio/flac"), (1 + len(FLAC), len(OGG), "audio/ogg"), (1 + len(FLAC + OGG), len(FLAC), "audio/flac"), (1 + len(FLAC + OGG + FLAC), len(GIF), "image/gif")]
     rows = [(1, png(), "text/plain"), (2, b"--" + GIF + b"--" + JPEG, "application/x"), (3, None, "a"), (4, b"", None), (5, media.store(png()), "audio/wav")]
     out = media.sniffed(spark.createDataFrame([(*r, "m") for r in rows], "id long, v binary, t string, corrected string"), "v", "t", carve=True)
     got = {r["id"]: r for r in out.collect()}
