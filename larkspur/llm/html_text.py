@@ -331,11 +331,19 @@ _SAYS = {
 }
 
 
+@cache
+def _words(n: int = 50_000) -> list[str]:
+    """Words that mean nothing."""
+    r = np.random.Generator(np.random.PCG64(7))
+    return ["".join(map(chr, 97 + r.integers(0, 26, k))) for k in r.integers(2, 9, n)]
+
+
 def _made_page(r: np.random.Generator) -> str:
     """One training page; main blocks carry the mark \\x02."""
     pick = lambda xs: xs[r.integers(len(xs))]
-    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9)))
-    words = lambda lo, hi: " ".join(word() for _ in range(r.integers(lo, hi)))
+    pool = _words()
+    word = lambda: pool[r.integers(len(pool))]
+    words = lambda lo, hi: " ".join([pool[i] for i in r.integers(0, len(pool), r.integers(lo, hi))])
     repeated = lambda n: " ".join([word()] * n)
     sentence = lambda lo, hi: (words(lo, hi) if r.random() < 0.95 else repeated(lo + 5)).capitalize() + pick([".", ".", ".", "", "!", "?", " ###", " | x |", "&amp;", "%%%"])
     named = lambda names: f'{pick(["class", "class", "id"])}="{pick(names)}{pick(["", "", " box", " x1"])}"'
