@@ -2,10 +2,12 @@
 
 A level is one job: rows find their node by the compiled tree so far, class counts by (node, feature, value) are one aggregate,
 and split candidates are running sums over the values of a (node, feature). Only each node's best split comes to the driver.
+A task sees all distinct values of a feature in a node; with max_bin it sees as many bins (see boosting.bin_edges), whatever the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window as W
 from ..errors import EmptyDataError, ValidationError
 from ..frame import check_columns, num
 from ..functions.numeric import total
+from .boosting import bin_edges, bin_of
 from .nodes import Ensemble, Node, Tree, expression
 
 
@@ -53,14 +56,19 @@ def best_splits(found: DataFrame) -> DataFrame:
 
 
 class DecisionTreeClassifier:
-    def __init__(self, criterion: str = "gini", max_depth: int = 5, min_samples_split: int = 2, min_samples_leaf: int = 1):
+    def __init__(self, criterion: str = "gini", max_depth: int = 5, min_samples_split: int = 2, min_samples_leaf: int = 1, max_bin: int | None = None):
         if criterion not in ("gini", "entropy"):
             raise ValidationError("criterion", "gini or entropy", criterion)
-        self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf = criterion, max_depth, min_samples_split, min_samples_leaf
+        if max_bin is not None and max_bin < 2:
+            raise ValidationError("max_bin", "2 or more, or None for every value", max_bin)
+        self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.max_bin = criterion, max_depth, min_samples_split, min_samples_leaf, max_bin
 
     def fit(self, df: DataFrame, features: Sequence[str], target: str) -> TreeModel:
         check_columns("DecisionTreeClassifier", df, features)
-        rows = df.select(*features, F.col(target).cast("int").alias(target)).persist()
+        edges = bin_edges(df, features, self.max_bin) if self.max_bin else {}
+        seen = [f"__b{i}" for i in range(len(features))] if self.max_bin else list(features)
+        bins = [bin_of(num(f), edges[f]).alias(b) for f, b in zip(features, seen, strict=True)] if self.max_bin else []
+        rows = df.select(*features, F.col(target).cast("int").alias(target), *bins).persist()
         try:
             counts = {r[target]: r["count"] for r in rows.groupBy(target).count().collect()}
             if not counts:
@@ -74,7 +82,7 @@ class DecisionTreeClassifier:
                     break
                 node = expression(tree, features, lambda n: F.lit(n.node_id))
                 at = rows.withColumn("node", node).where(F.col("node").isin(sorted(open_nodes)))
-                found = best_splits(candidates(at, features, target, classes, self.criterion, self.min_samples_leaf)).collect()  # one row for each open node
+                found = best_splits(candidates(at, seen, target, classes, self.criterion, self.min_samples_leaf)).collect()  # one row for each open node
                 open_nodes = set()
                 for r in sorted(found, key=lambda r: r["node"]):
                     if r["gain"] > 0:
@@ -82,7 +90,8 @@ class DecisionTreeClassifier:
                         right = [float(r[f"t{i}"]) - v for i, v in enumerate(left)]
                         i, parent = len(tree.nodes), tree.at(r["node"])
                         tree.nodes += [Node(i, class_counts=left, count=sum(left)), Node(i + 1, class_counts=right, count=sum(right))]
-                        parent.feature, parent.threshold, parent.gain, parent.left, parent.right = r["feature"], r["threshold"], r["gain"], i, i + 1
+                        threshold = edges[features[r["feature"]]][math.floor(r["threshold"])] if self.max_bin else r["threshold"]
+                        parent.feature, parent.threshold, parent.gain, parent.left, parent.right = r["feature"], threshold, r["gain"], i, i + 1
                         open_nodes |= {i, i + 1}
         finally:
             rows.unpersist()

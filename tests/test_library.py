@@ -402,3 +402,18 @@ def test_mini_batch_k_means(spark):
     p = MiniBatchKMeans(3).partial_fit(df.where("id % 2 = 0"), "v", "id").partial_fit(df.where("id % 2 = 1"), "v", "id")
     near = ((x[:, None] - start[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert p.counts.sum() == 180 and np.abs(p.centres - np.array([x[near == i].mean(axis=0) for i in range(3)])).max() < 0.5
+
+
+def test_tree_by_bins(spark):
+    from larkspur.operators.tree import DecisionTreeClassifier
+
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.xxhash64("id") % 1000).cast("double").alias("b"))
+    df = df.withColumn("y", ((F.col("a") > 3) & (F.col("b") > 100)).cast("int"))
+    fit = lambda n: DecisionTreeClassifier(max_depth=2, max_bin=n).fit(df, ["a", "b"], "y")
+    shape = lambda m: [(n.feature, round(n.threshold), n.left) for n in m.tree.nodes if not n.leaf]
+    assert [n[0] for n in shape(fit(64))] == [n[0] for n in shape(fit(None))]
+    hit = fit(64).predict(df).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+    assert hit > 0.97
+    small = df.where("b >= 0 and b < 20")  # few values: the bins are the values
+    exact, binned = (DecisionTreeClassifier(max_depth=2, max_bin=n).fit(small, ["a", "b"], "y") for n in (None, 255))
+    assert [(n.feature, n.threshold, n.count) for n in exact.tree.nodes] == [(n.feature, n.threshold, n.count) for n in binned.tree.nodes]
