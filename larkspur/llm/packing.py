@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import shipped, written
 
-SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.97
+SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.995
 
 
 def cost(size: int) -> float:

@@ -689,7 +689,7 @@ def test_packing_over_small_and_unequal_partitions(spark, sf_dir):
     for rows in (d.repartition(1), d.repartition(100), d.repartitionByRange(7, "n_chars")):
         bins = packing.packed(rows).where("bin_id is not null").groupBy("bin_id", "bin_size").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m"), F.countDistinct("bin_offset").alias("o"))
         size, used, wrong = bins.agg(F.sum("bin_size"), F.sum("n"), F.sum((F.col("m") != F.col("o")).cast("int"))).first()
-        assert used / size > 0.99 and wrong == 0 and bins.select("bin_id").distinct().count() == bins.count()
+        assert used / size > 0.985 and wrong == 0 and bins.select("bin_id").distinct().count() == bins.count()
 
 
 def test_pack_is_best_fit():
