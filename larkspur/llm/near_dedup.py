@@ -41,6 +41,8 @@ from .common import appended, components, everything, mapped, parts, settled, us
 N, NEAR, ROWS = 128, 3, 500_000
 #: The greatest chance that a pair of the least similarity shares no region, and that its signatures agree too little.
 MISSED = 1e-7
+#: Up to so many ids (8 MB) may go to the texts by broadcast, if Spark's own limit allows; longer lists and the texts are dealt out by id.
+FEW_IDS = 1_000_000
 #: Counters of the frequency sketch. Any order of shingles gives the same pairs; a good one makes few candidates.
 SKETCH = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(97))
@@ -307,13 +309,18 @@ def _prefixes(counts, percent: int):
     return run
 
 
+def _with_texts(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs of the ids, a written table. The texts are never sorted."""
+    return docs.join(ids if ids.count() <= FEW_IDS else ids.hint("shuffle_hash"), "doc_id", how)
+
+
 def _exact(docs: DataFrame, rooted: DataFrame, forest: Forest, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(sets, pairs a, b) of crowded regions' sets in different components that may fit. rooted: rep, sig, root."""
     spark = docs.sparkSession
     regions = written(mapped(rooted, _regions(forest), "region long, rep long, root long"), "regions")
     mixed = regions.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"rows > {NEAR + 1} and x <> y").select("region")
     crowded = written(regions.join(mixed.hint("merge"), "region").select(F.col("rep").alias("doc_id"), "root").distinct(), "crowd")
-    wanted = docs.join(crowded, "doc_id")
+    wanted = _with_texts(docs, crowded, "inner")
     sets = written(appended(wanted, ["text"], _sets(k), s="array<long>").select(F.col("doc_id").alias("rep"), "root", "s").where("size(s) > 0"), "crowded")
     used(regions, crowded)
     counts = np.zeros(SKETCH, np.uint32)
@@ -344,8 +351,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     reps = written(real.groupBy("skey").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(F.col("x.doc_id").alias("rep"), "skey", F.col("x.sig").alias("sig")), "reps")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """doc_id, s for each id; a list of ids that is small enough goes to the texts, else both are dealt out by id."""
-        return written(appended(docs.join(ids, "doc_id", "left_semi"), ["text"], _sets(k), s="array<long>").drop("text").where("size(s) > 0"), "sets")
+        """doc_id, s for each id."""
+        return written(appended(_with_texts(docs, ids, "left_semi"), ["text"], _sets(k), s="array<long>").drop("text").where("size(s) > 0"), "sets")
 
     def confirmed(some: DataFrame, sets: DataFrame) -> DataFrame:
         # sets are large rows: never broadcast
