@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Sequence
@@ -94,6 +95,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 _LOCAL: list[str] = []
+#: Seconds between two requests to the driver's JVM to collect, and when the last one was.
+PAUSE, _LAST = 3.0, [0.0]
 _LIVE: dict[str, SparkSession] = {}
 
 
@@ -109,6 +112,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs only the unfinished tasks of later jobs. The files go with used(), or when the driver exits.
     """
     spark = df.sparkSession
+    settled(spark, PAUSE)
     path = f"{shared_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
@@ -130,6 +134,11 @@ def used(*tables: DataFrame) -> None:
             _delete(_LIVE.pop(path), path)
 
 
-def settled(spark: SparkSession) -> None:
-    """Ask the driver to let go of the plans of finished queries: the tables that they broadcast leave the executors with them."""
-    spark.sparkContext._jvm.System.gc()
+def settled(spark: SparkSession, pause: float = 0.0) -> None:
+    """Ask the driver to let go of the plans of finished queries, which fill its memory; the tables that they broadcast leave the executors with them.
+
+    Nothing is done within `pause` seconds of the last time.
+    """
+    if time.monotonic() - _LAST[0] >= pause:
+        spark.sparkContext._jvm.System.gc()
+        _LAST[0] = time.monotonic()
