@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..errors import EmptyDataError, ValidationError
+from ..errors import EmptyDataError, NumericalInstabilityError, ValidationError
 from ..frame import check_columns, num, used, written
 from ..functions.numeric import sigmoid, soft_threshold, softmax
 from .nodes import Ensemble, Node, Tree
@@ -634,15 +634,27 @@ def conflicts(features: Sequence[str]) -> list[Column]:
 OFFSET = 1000.0
 
 
-def bundle(features: Sequence[str]) -> Column:
-    """OFFSET * (i + 1) + x for the first nonzero feature i; 0 if none."""
-    return F.coalesce(*[F.when(F.abs(num(f)) > 1e-10, F.lit(OFFSET * (i + 1)) + num(f)) for i, f in enumerate(features)], F.lit(0.0))
+def bundle_offset(df: DataFrame, features: Sequence[str]) -> float:
+    """OFFSET, doubled until it is over twice every finite |x|, so that unbundle tells the features apart. One aggregate."""
+    size = [F.abs(num(f)) for f in features]
+    tops = df.agg(*[F.max(F.when(x < float("inf"), x)).alias(f"x{i}") for i, x in enumerate(size)]).first()  # NaN is greater
+    top, offset = max((t for t in tops if t is not None), default=0.0), OFFSET
+    while offset / 2 <= top:
+        offset *= 2
+    if math.isinf(offset * len(features)):
+        raise NumericalInstabilityError(f"bundle: values up to {top} leave no room for {len(features)} features in a double")
+    return offset
 
 
-def unbundle(value: Column, features: Sequence[str]) -> dict[str, Column]:
-    """Inverse of bundle for |x| < OFFSET / 2."""
-    at = F.round(value / OFFSET)
-    return {f: F.when((value != 0) & (at == i + 1), value - F.lit(OFFSET * (i + 1))).otherwise(0.0) for i, f in enumerate(features)}
+def bundle(features: Sequence[str], offset: float = OFFSET) -> Column:
+    """offset * (i + 1) + x for the first nonzero feature i; 0 if none."""
+    return F.coalesce(*[F.when(F.abs(num(f)) > 1e-10, F.lit(offset * (i + 1)) + num(f)) for i, f in enumerate(features)], F.lit(0.0))
+
+
+def unbundle(value: Column, features: Sequence[str], offset: float = OFFSET) -> dict[str, Column]:
+    """Inverse of bundle for |x| < offset / 2 (see bundle_offset), to within the rounding of offset * (i + 1) + x."""
+    at = F.round(value / offset)
+    return {f: F.when((value != 0) & (at == i + 1), value - F.lit(offset * (i + 1))).otherwise(0.0) for i, f in enumerate(features)}
 
 
 def plan_bundles(share_zero: dict[str, float], conflict: dict[tuple[str, str], float], least: float = 0.8, most: float = 0.0) -> list[list[str]]:

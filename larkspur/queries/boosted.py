@@ -395,8 +395,10 @@ def efb_bundle(spark, sf_dir):
 
 @query("efb_unbundle", f"SELECT round(avg(a), 6) + 0.0e0 AS a, round(avg(b), 6) + 0.0e0 AS b, 0::BIGINT AS wrong FROM {_EX}")
 def efb_unbundle(spark, sf_dir):
-    x = _sparse(Tables(spark, sf_dir)).withColumn("v", B.bundle(["a", "b"]))
-    back = B.unbundle(F.col("v"), ["a", "b"])
+    x = _sparse(Tables(spark, sf_dir))
+    offset = B.bundle_offset(x, ["a", "b"])
+    x = x.withColumn("v", B.bundle(["a", "b"], offset))
+    back = B.unbundle(F.col("v"), ["a", "b"], offset)
     x = x.select("a", "b", back["a"].alias("a2"), back["b"].alias("b2"))
     return x.agg(rnd(F.avg("a2")).alias("a"), rnd(F.avg("b2")).alias("b"), F.sum(((F.abs(F.col("a") - F.col("a2")) > 1e-9) | (F.abs(F.col("b") - F.col("b2")) > 1e-9)).cast("long")).alias("wrong"))
 

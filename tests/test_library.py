@@ -198,6 +198,18 @@ def test_raw_matrix(spark, tmp_path):
     assert [(r["a"], r["c"]) for r in out] == [(0.0, 2.0), (3.0, 5.0), (6.0, 8.0), (9.0, 11.0)]
 
 
+def test_unbundle_takes_values_of_any_size(spark):
+    rows = [(560.25, 0.0), (0.0, 1234.5), (0.0, -750.0), (-3e5, 0.0), (0.0, 0.0), (None, 2.0), (float("nan"), 0.0)]
+    df = frame(spark, rows, "a double, b double")
+    offset = B.bundle_offset(df, ["a", "b"])
+    assert B.bundle_offset(df.where("a = 0 and b = 0"), ["a", "b"]) == B.bundle_offset(df.where("false"), ["a", "b"]) == B.OFFSET
+    back = B.unbundle(F.col("v"), ["a", "b"], offset)
+    got = df.withColumn("v", B.bundle(["a", "b"], offset)).select("a", "b", back["a"].alias("a2"), back["b"].alias("b2")).collect()
+    assert all((r["a2"], r["b2"]) == pytest.approx((r["a"] or 0.0, r["b"]), abs=1e-9) for r in got if r["a"] is None or not math.isnan(r["a"]))
+    with pytest.raises(errors.NumericalInstabilityError):
+        B.bundle_offset(frame(spark, [(1e308, 0.0)], "a double, b double"), ["a", "b"])
+
+
 def test_bundles():
     share = {"a": 0.9, "b": 0.9, "c": 0.1, "d": 0.95}
     assert B.plan_bundles(share, {("a", "b"): 0.0, ("a", "d"): 0.5, ("b", "d"): 0.0}) in ([["b", "a"], ["d"]], [["b", "d"], ["a"]], [["b", "a"], ["d"]])

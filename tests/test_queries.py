@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from oracle import check
 
@@ -36,6 +37,24 @@ def test_stream_sgd_covers_all_rows(spark, sf_dir):
     assert sum(r["n"] for r in out) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
+@pytest.fixture
+def events(tmp_path, monkeypatch):
+    """Writes a folder with a table of events alone."""
+    monkeypatch.setattr("oracle.TABLES", ["events"])
+
+    def write(sql):
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/events.parquet'")
+        return str(tmp_path)
+
+    return write
+
+
+def test_unbundle_large_value(spark, sf_dir, events):
+    """One value beyond half of what a feature's room was."""
+    d = events(f"SELECT * REPLACE (CASE WHEN event_id = 25 THEN 5000 ELSE value END AS value) FROM '{sf_dir}/events.parquet'")
+    check(QUERIES["efb_unbundle"], ORACLES["efb_unbundle"], spark, d)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
