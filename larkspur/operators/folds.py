@@ -282,8 +282,8 @@ class OnlineKMeans:
     def learn(self, state: list, x: Sequence[float], y: float | None = None) -> None:
         i, _ = self.nearest(state[1], x)
         state[0][i] += 1
-        eta = 1.0 / state[0][i]
-        state[1][i] = [(1 - eta) * c + eta * v for c, v in zip(state[1][i], x, strict=True)]
+        n = state[0][i]
+        state[1][i] = [(1 - 1 / n) * c + v / n for c, v in zip(state[1][i], x, strict=True)]  # rounded as in SQL: on a lattice, distances tie to the last bit
 
     def fit_keys(self, df: DataFrame, key: str, order: str, features: Sequence[str]) -> DataFrame:
         """key, then n<c>, c<c>_<i> for each centre c."""
