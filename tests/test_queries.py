@@ -55,7 +55,7 @@ def test_unbundle_large_value(spark, sf_dir, events):
     check(QUERIES["efb_unbundle"], ORACLES["efb_unbundle"], spark, d)
 
 
-@pytest.mark.parametrize("name", ["kmeans_online"])
+@pytest.mark.parametrize("name", ["kmeans_online", "stream_kmeans"])
 def test_kmeans_tie(name, spark, events):
     """The last row of the second user is as far from one centre as from the other but for rounding."""
     ids = [[84 * k + next(i for i in range(0, 84, 4) if i % 21 == r) for k, r in enumerate(rest)] for rest in ([1, 2, 3], [11, 15, 6, 12, 10])]
