@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import mapped, settled, shared_dir, shipped, used, written  # noqa: F401
+from ..frame import PAUSE, mapped, settled, shared_dir, shipped, used, written  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,14 +72,40 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: So many edges (16 bytes each) are joined in one task.
+FEW_EDGES = 250_000
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (u, v) -> node, root: every root takes the smallest one that it meets, until none meets another."""
+    edges = [b[["u", "v"]].to_numpy() for b in batches if len(b)]
+    if not edges:
+        return
+    edges = np.concatenate(edges)
+    nodes, at = np.unique(edges, return_inverse=True)
+    u, v = at.reshape(edges.shape).T
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        a, b = root[u], root[v]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    for i in range(0, len(rest), 100_000):
+        yield pd.DataFrame({"node": nodes[rest[i : i + 100_000]], "root": nodes[root[rest[i : i + 100_000]]]})
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(u, v) long -> (node, root): the smallest node of each connected component, for nodes that have an edge.
+    """edges(u, v) long -> (node, root): the smallest node of each connected component, for its other nodes.
 
-    Alternating large-star and small-star steps. Every step is a grouped minimum (combined before the shuffle) and a join
+    Up to FEW_EDGES distinct edges are joined in one task: a round of steps over a small graph costs tasks, not work. More of them take
+    alternating large-star and small-star steps. Every step is a grouped minimum (combined before the shuffle) and a join
     that Spark may split where a node has very many neighbours. The edges live in written tables, never on the driver.
     """
     cur = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cur, before = written(cur, name), None
+    if cur.count() <= FEW_EDGES:
+        return mapped(cur.coalesce(1), joined, "node long, root long")
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

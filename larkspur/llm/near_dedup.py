@@ -325,7 +325,7 @@ def _exact(docs: DataFrame, rooted: DataFrame, forest: Forest, percent: int, k:
     used(regions, crowded)
     counts = np.zeros(SKETCH, np.uint32)
     held = mapped(sets.select("s"), _sketched, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in mapped(held, _packed, "at binary, n binary").toLocalIterator():  # 8 bytes for each of SKETCH counters
+    for r in mapped(held, _packed, "at binary, n binary").collect():  # 8 bytes for each of SKETCH counters; an iterator would take a job for each partition
         counts[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.uint32)
     all_posts = written(mapped(sets, _prefixes(spark.sparkContext.broadcast(counts), percent), "g long, rep long, root long, n int, left int, short boolean"), "posts")
     meet = all_posts.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("short").alias("any")).where("x <> y and any").select("g")
