@@ -96,7 +96,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 _LOCAL: list[str] = []
 #: Seconds between two requests to the driver's JVM to collect, and when the last one was.
-PAUSE, _LAST = 3.0, [0.0]
+PAUSE, _LAST = 1.0, [0.0]
 _LIVE: dict[str, SparkSession] = {}
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, everything, fresh, used, written
+from .common import PAUSE, appended, everything, fresh, settled, used, written
 from .linear import SAMPLE, Features, Sample, logistic
 
 MU, NEAR, SETTLED, KEEP, STEPS = 1e-3, 0.01, 1e-4, 8, 400
@@ -139,6 +139,7 @@ def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float],
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         gradients.append((((y - want) / natural).tolist(), (t - 1) / after))
         r, a = moved(gradients, budget, p, rate, ahead)
+        settled(now.sparkSession, PAUSE)  # each step is a plan of its own
         (x, gap), (y, _) = ((s / total, g / total) for s, g in sums(now, r, a))
         values.append(float(((x - want) ** 2 / natural).sum() / 2 + MU / 2 * gap))
         t, rises = after, len(values) > 1 and values[-1] > values[-2]
