@@ -14,6 +14,10 @@ from .online import _events, _kmeans_sql, _pac_sql, _sgd_sql, _sgdc_sql
 from .registry import Tables, frame, query, rnd, rounded
 
 
+#: More files than a micro-batch has.
+_ALL = 1_000_000
+
+
 def _folder(spark, name: str) -> str:
     """A new folder in the shared one that the session names."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -49,12 +53,16 @@ def stream_linreg(spark, sf_dir):
     return x.select("n", rnd("intercept", 3).alias("intercept"), rnd("slope", 4).alias("slope"))
 
 
-def _in_batches(spark, sf_dir):
-    """The events as a stream of four micro-batches, by event_id % 4."""
-    path, e = _folder(spark, "stream"), _events(Tables(spark, sf_dir)).withColumn("y", F.col("y").cast("double"))
-    for i in range(4):  # files are taken in the order of their times
-        e.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(path)
-    return S.file_stream(spark, path, 1)
+def _in_batches(spark, sf_dir, learn):
+    """Run learn over the events as a stream of four micro-batches, by event_id % 4; what each run returns.
+
+    A batch is written when the one before it is learnt, so that the order does not rest on the times of files.
+    """
+    path, e, out = _folder(spark, "stream"), _events(Tables(spark, sf_dir)).withColumn("y", F.col("y").cast("double")), []
+    for i in range(4):
+        e.where(F.col("event_id") % 4 == i).write.mode("append").parquet(path)
+        out.append(learn(S.file_stream(spark, path, _ALL)))
+    return out
 
 
 #: The same order in SQL: batch by batch, by event_id within a batch.
@@ -68,12 +76,15 @@ FROM rows JOIN firsts USING (user_id) JOIN f ON f.user_id = rows.user_id AND f.r
 def stream_sgdr(spark, sf_dir):
     """Test-then-train error of each micro-batch."""
     s = S.StreamingFold(SGDRegressor(eta0=0.05), ["x", "z"], "y", "user_id", "event_id")
-    out = s.test_then_train(_in_batches(spark, sf_dir), _folder(spark, "offsets"))
-    return rounded(frame(spark, out, "batch int, n long, tested long, mse double"))
+    offsets = _folder(spark, "offsets")
+    out = _in_batches(spark, sf_dir, lambda stream: s.test_then_train(stream, offsets))
+    return rounded(frame(spark, sum(out, []), "batch int, n long, tested long, mse double"))
 
 
 def _fitted(spark, sf_dir, learner, target):
-    return S.StreamingFold(learner, ["x", "z"], target, "user_id", "event_id").fit_stream(_in_batches(spark, sf_dir), _folder(spark, "offsets")).result(spark)
+    s, offsets = S.StreamingFold(learner, ["x", "z"], target, "user_id", "event_id"), _folder(spark, "offsets")
+    _in_batches(spark, sf_dir, lambda stream: s.fit_stream(stream, offsets))
+    return s.result(spark)
 
 
 def _values(df, names, first=0):

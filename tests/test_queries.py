@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 import duckdb
 import pytest
 from oracle import check
@@ -63,6 +66,23 @@ def test_kmeans_tie(name, spark, events):
     check(QUERIES[name], ORACLES[name], spark, d)
 
 
+@pytest.mark.parametrize("name", ["stream_kmeans", "stream_sgdr"])
+def test_stream_order_without_times(name, spark, sf_dir, monkeypatch):
+    """Files of a later batch may bear an earlier time: a clock was set back."""
+    from larkspur.queries import streams
+
+    opened = streams.S.file_stream
+
+    def set_back(spark, path, *more):
+        files = sorted(Path(path.removeprefix("file://")).glob("*.parquet"), key=lambda f: f.stat().st_ctime_ns)
+        for k, f in enumerate(files):
+            os.utime(f, (1.7e9 - 60 * k,) * 2)
+        return opened(spark, path, *more)
+
+    monkeypatch.setattr(streams.S, "file_stream", set_back)
+    check(QUERIES[name], ORACLES[name], spark, sf_dir)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
