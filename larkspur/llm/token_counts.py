@@ -105,21 +105,30 @@ class WholeTokens:
 
 def fit(path: str) -> tuple[str, frozenset[str]]:
     """The vocabulary's own text and its proven strings: a few MB at most, bounded by the vocabulary."""
+    spec = checked(path)
+    return spec, WholeTokens(spec).proven
+
+
+def checked(path: str) -> str:
+    """The vocabulary's own text, if it is of the kind that WholeTokens takes."""
     with open(path, encoding="utf-8") as f:
         spec = f.read()
-    return spec, WholeTokens(spec).proven
+    supported(json.loads(spec))
+    return spec
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    spec, proven = fit(path)
-    sent = docs.sparkSession.sparkContext.broadcast((spec, proven))
+    """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+
+    The library is loaded and strings are proven by each worker, once: the driver would keep its memory for all later stages.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(checked(path))
     name = path
 
     def run(texts: list[str | None]) -> tuple[list, list, list]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if name not in _READY:
-            _READY[name] = WholeTokens(*sent.value)
+            _READY[name] = WholeTokens(sent.value)
         tokens = _READY[name].count(texts)
         return [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], tokens, [t > limit for t in tokens]
 

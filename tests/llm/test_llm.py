@@ -275,6 +275,12 @@ def test_token_counts_equal_the_library(spark, table, edge):
         assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
 
 
+def test_token_counts_load_nothing_on_the_driver(table, monkeypatch):
+    """What the driver's Python takes for the library it keeps for all stages."""
+    monkeypatch.setattr(token_counts.WholeTokens, "__init__", lambda *_: pytest.fail("the driver loads the library"))
+    assert token_counts.token_counts(table, entries.token_path()).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
 def test_token_counts_refuse_other_files():
     import json
 
