@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its place in a sequence, in tokens of the model's vocabulary."""
-    return packing.packed(token_counts.token_counts(docs, entries.token_path(), max(packing.SIZES)), count="n_tokens")
+    return packing.packed(docs, counter=token_counts.counter(spark, entries.token_path()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -9,7 +9,8 @@ There each bin shrinks to the smallest permitted length that holds its contents.
 pieces are shuffled, and a lost task is simply run again.
 
 Texts longer than the greatest length are cut at it; only the last piece of a text can be shorter. Lengths are words unless a
-column of counts is named.
+column of counts is named or a counter of texts is given. The counter runs within the packing worker: a plan that counts in Python
+and then packs would hold two workers for each task.
 
 Defined results: a null, empty or blank text has no tokens and one row without a bin; repeated rows are packed each; null
 doc_ids stay null; an empty table gives an empty table; other columns are not read.
@@ -18,7 +19,7 @@ doc_ids stay null; an empty table gives an empty table; other columns are not re
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import shipped, written
 
 SIZES, WINDOW, FULL = (512, 1024, 2048, 4096, 8192), 32_768, 0.995
+#: So many texts are counted at a time.
+ROWS = 512
 
 
 def cost(size: int) -> float:
@@ -63,8 +66,11 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[tuple[int,
     return out
 
 
-def _packer(sizes: tuple[int, ...], last: bool):
-    """A round over (doc_id, piece, start, n): bins, and without `last` the left-over pieces (rows that have tokens but no bin)."""
+def _packer(sizes: tuple[int, ...], last: bool, counter: Callable[[list], list[int]] | None = None):
+    """A round over (doc_id, piece, start, n): bins, and without `last` the left-over pieces (rows that have tokens but no bin).
+
+    With a counter, n comes as a text.
+    """
     most = max(sizes)
     kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("bin_size", pa.int64()), ("bin_offset", pa.int64())])
 
@@ -93,9 +99,10 @@ def _packer(sizes: tuple[int, ...], last: bool):
                 rows += [(*p, None, None, None) for p in pieces]
             return table(rows)
 
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)) if counter else batches:
             blank = []
-            for doc, first, begin, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            docs, firsts, begins, counts = (batch.column(i).to_pylist() for i in range(4))
+            for doc, first, begin, n in zip(docs, firsts, begins, counter(counts) if counter else counts, strict=True):
                 if not n:
                     blank.append((doc, 0, 0, 0, None, None, None))
                 for piece, start in enumerate(range(0, n, most)):
@@ -110,15 +117,19 @@ def _packer(sizes: tuple[int, ...], last: bool):
     return run
 
 
-def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, count: str | None = None) -> DataFrame:
-    """docs(doc_id, text, or a column of counts) -> doc_id, piece, start, n_tokens, bin_id, bin_size, bin_offset: a row for each piece."""
+def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, count: str | None = None, counter: Callable[[list[str | None]], list[int]] | None = None) -> DataFrame:
+    """docs(doc_id, text, or a column of counts) -> doc_id, piece, start, n_tokens, bin_id, bin_size, bin_offset: a row for each piece.
+
+    counter: gives the counts of a list of texts; it is sent to the workers.
+    """
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     n = F.col(count) if count else F.when(F.col("text").isNull(), 0).otherwise(words)
     zero = F.lit(0).cast("long")
-    rows = docs.select("doc_id", zero.alias("piece"), zero.alias("start"), F.coalesce(n.cast("long"), zero).alias("n"))
+    n = F.col("text") if counter else F.coalesce(n.cast("long"), zero)
+    rows = docs.select("doc_id", zero.alias("piece"), zero.alias("start"), n.alias("n"))
     shipped(docs.sparkSession)
     kind, sizes = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_offset long", tuple(sorted(sizes))
-    first = written(rows.mapInArrow(_packer(sizes, False), kind), "packed")
+    first = written(rows.mapInArrow(_packer(sizes, False, counter), kind), "packed")
     left = first.where("bin_id is null and n_tokens > 0").select("doc_id", "piece", "start", F.col("n_tokens").alias("n"))
     tasks = -(-left.count() // WINDOW)
     second = left.repartition(max(1, tasks), "doc_id", "piece", "start").mapInArrow(_packer(sizes, True), kind)

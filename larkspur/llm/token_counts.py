@@ -19,12 +19,16 @@ import json
 import os
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import appended
 
 _READY: dict[str, "WholeTokens"] = {}
+#: So many words are merged at a time: what the library returns for each is far larger than its word.
+WORDS = 1024
 
 
 def supported(j: dict) -> None:
@@ -50,9 +54,8 @@ class WholeTokens:
         import regex
         from tokenizers import Tokenizer
 
-        j = json.loads(spec)
+        self.spec, j = spec, json.loads(spec)
         supported(j)
-        self.library = Tokenizer.from_str(spec)
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         names = sorted((a["content"] for a in j["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
@@ -61,6 +64,17 @@ class WholeTokens:
         self.merge = Tokenizer.from_str(json.dumps(bare))
         self.proven = self._prove(j) if proven is None else proven
 
+    @cached_property
+    def library(self):
+        """The whole tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
+    def _merged(self, words: list[str]) -> list[int]:
+        """The number of tokens of each word."""
+        return [len(e.ids) for k in range(0, len(words), WORDS) for e in self.merge.encode_batch_fast(words[k : k + WORDS], add_special_tokens=False)]
+
     def _prove(self, j: dict) -> frozenset[str]:
         """Vocabulary strings, as text, that encode alone as one token."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,7 +88,7 @@ class WholeTokens:
                     texts.append(bytes(byte[c] for c in body).decode("utf-8"))
                 except (UnicodeDecodeError, KeyError):
                     continue
-        return frozenset(t for t, e in zip(texts, self.merge.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1)
+        return frozenset(t for t, n in zip(texts, self._merged(texts), strict=True) if n == 1)
 
     def count(self, texts: list[str | None]) -> list[int]:
         n, rest, owners = [0] * len(texts), {}, []
@@ -97,7 +111,7 @@ class WholeTokens:
                     else:
                         owners.append((i, rest.setdefault(word, len(rest)), times))
         if rest:
-            sizes = [len(e.ids) for e in self.merge.encode_batch_fast(list(rest), add_special_tokens=False)]
+            sizes = self._merged(list(rest))
             for i, at, times in owners:
                 n[i] += sizes[at] * times
         return n
@@ -117,19 +131,29 @@ def checked(path: str) -> str:
     return spec
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+def counter(spark: SparkSession, path: str) -> Callable[[list[str | None]], list[int]]:
+    """A function for workers, from texts to their numbers of tokens.
 
     The library is loaded and strings are proven by each worker, once: the driver would keep its memory for all later stages.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(checked(path))
+    sent = spark.sparkContext.broadcast(checked(path))
     name = path
 
-    def run(texts: list[str | None]) -> tuple[list, list, list]:
+    def run(texts: list[str | None]) -> list[int]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if name not in _READY:
             _READY[name] = WholeTokens(sent.value)
-        tokens = _READY[name].count(texts)
+        return _READY[name].count(texts)
+
+    return run
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    counted = counter(docs.sparkSession, path)
+
+    def run(texts: list[str | None]) -> tuple[list, list, list]:
+        tokens = counted(texts)
         return [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], tokens, [t > limit for t in tokens]
 
     return appended(docs.select("doc_id", "text"), ["text"], run, n_bytes="long", n_tokens="long", over_limit="boolean").drop("text")

@@ -281,6 +281,24 @@ def test_token_counts_load_nothing_on_the_driver(table, monkeypatch):
     assert token_counts.token_counts(table, entries.token_path()).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
 
 
+def test_token_counts_keep_little_in_a_worker(monkeypatch):
+    """The whole tokenizer is loaded only for a text that needs it, and a long list of words is merged in blocks."""
+    counter = token_counts.WholeTokens(token_counts.checked(entries.token_path()))
+    texts = [LONG, " ".join(map("".join, itertools.permutations("zqxjv"))), ODD.replace("\u0378", ""), None, ""]
+    want, sizes, whole = counter.count(texts), [], counter.merge
+
+    class Watched:
+        def encode_batch_fast(self, words, **kind):
+            sizes.append(len(words))
+            return whole.encode_batch_fast(words, **kind)
+
+    counter.merge = Watched()
+    monkeypatch.setattr(token_counts, "WORDS", 7)
+    assert counter.count(texts) == want and len(sizes) > 1 and max(sizes) == 7
+    assert "library" not in vars(counter)
+    assert counter.count([ODD]) == [len(counter.library.encode(ODD, add_special_tokens=False).ids)] and "library" in vars(counter)
+
+
 def test_token_counts_refuse_other_files():
     import json
 
@@ -712,6 +730,22 @@ def test_packing(spark, table, edge):
     assert packing.packed(edge.limit(0)).count() == 0
 
 
+def test_pipeline_packs_with_one_worker_a_task(spark, table, edge, sf_dir, monkeypatch):
+    """Two Python steps in one task hold two workers, and their memory is the executor's."""
+    plans, write = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    for df in (table, edge, edge.limit(0)):
+        df = df.repartition(3).cache()
+        got = corpus_pipeline.pack(spark, df, sf_dir)
+        assert plans.pop().count("MapInArrow ") == 1
+        counts = token_counts.token_counts(df, entries.token_path())
+        place = ("doc_id", "piece", "start", "n_tokens", "bin_size", "bin_offset")
+        rows = lambda out: Counter(map(tuple, out.select(*place, F.col("bin_id").isNull()).collect()))
+        assert rows(got) == rows(packing.packed(counts, count="n_tokens"))
+        plans.clear()
+        df.unpersist()
+
+
 def test_packing_over_small_and_unequal_partitions(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     for rows in (d.repartition(1), d.repartition(100), d.repartitionByRange(7, "n_chars")):
