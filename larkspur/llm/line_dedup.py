@@ -8,8 +8,9 @@ one that repeats any earlier line goes, whether or not that earlier line stays i
 1. Equal lines: a grouped minimum over 128 bits of hashes of the words; the rest works on one line of each class. No text is
    shuffled here.
 2. Two lines of m words or fewer that are one word apart share their first or their last m / 2 words. Only lines that share such
-   a part (its length rounded down to a power of two) with another line go on; only they are fetched as text.
-3. Of those, each variant with one word left out is a key, and so are all words together. Keys are sums of position-dependent
+   a part (its length rounded down to a power of two) with another line go on; only they are fetched as text. Of those, only
+   lines that share the words around one of SHARE blocks with another line go on: the word that differs is in some block.
+3. Then each variant with one word left out is a key, and so are all words together. Keys are sums of position-dependent
    word hashes, so that all n + 1 keys of a line come from running sums over its n words. Keys of equal variants meet in
    grouped minima: a line replaces a word of another if both leave out the same position and get the same key; it extends
    another if one's variant is the other's whole key. No pairs within a group are made.
@@ -63,10 +64,45 @@ def _parts() -> list[Column]:
     return [c.alias(p) for c, p in zip([*ends("n", fuzzy), *ends("n + 1", fuzzy & crosses)], PARTS, strict=True)]
 
 
+def _frames() -> Column:
+    """Hashes of the words of t around each of SHARE blocks of q = n / SHARE words: the first j q and the last (SHARE - 1 - j) q of them.
+
+    If lines of n words, or of n and n - 1, share their first p and last s words and p + s >= n - 1, they share the frame of
+    j = p / q, since s >= n - (j + 1) q. So a line has the frames for n, and those for n + 1 where q is another.
+    """
+
+    def around(count: str) -> Column:
+        q = f"(({count}) div {SHARE})"
+        cut = "substring_index(t, ' ', cast({} as int))".format
+        return F.array(*[F.xxhash64(F.lit(j), F.expr(q), F.expr(cut(f"{j} * {q}")), F.expr(cut(f"{j + 1 - SHARE} * {q}"))) for j in range(SHARE)])
+
+    return F.when(F.expr(f"(n + 1) % {SHARE} = 0"), F.concat(around("n"), around("n + 1"))).otherwise(around("n"))
+
+
+def _case_key(text: Column) -> Column:
+    """A text of ASCII as it is; the bytes of any other as Latin-1, so that lower() folds A-Z there faster than translate() does.
+
+    lower() then also moves lead bytes of UTF-8 from C0-DE to E0-FE. Their continuation bytes still tell how long a character is, so
+    texts become equal by it only if they are equal but for A-Z. The result is for hashing, not for reading.
+    """
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, h, line, t (its words, a space between), n (words) of the lines that have words."""
-    raw = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where("raw <> ''")
-    t = raw.select("d", "h", "line", _plain(F.col("raw")).alias("t")).where("t <> ''")
+    """d, h, line, t (the key of its words, a space between), n (words) of the lines that have words.
+
+    What can be done once for a text is done before it is split. Each step is a column of its own: an expression that a later one
+    names more than once would be computed as often.
+    """
+    text = F.col("text")
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    raw = docs.select("d", "h", F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text).alias("text"))
+    raw = raw.select("d", "h", F.lower(_case_key(F.col("text"))).alias("text"))
+    dotless = F.lit("\u0131")  # what a Turkish JVM makes of I in texts that are not ASCII; Latin-1 has none
+    raw = raw.select("d", "h", F.when(F.contains(F.col("text"), dotless), F.replace(F.col("text"), dotless, F.lit("i"))).otherwise(F.col("text")).alias("text"))
+    t = raw.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("d", "h", "line", F.trim("raw").alias("t")).where("t <> ''")
     n = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit(" "), F.lit(""))) + 1
     return t.select("*", n.alias("n"))
 
@@ -100,8 +136,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     near = written(near.withColumn("n", F.size(F.split("t", " "))), "near")
     used(wanted, fetched)
 
+    # Of these, the lines that share the words around one block with another line.
+    frames = written(near.select("ord", F.explode(_frames()).alias("frame")), "frames")
+    shared = frames.groupBy("frame").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("frame")
+    some = frames.join(shared.hint("merge"), "frame").select("ord").distinct()
+
     # The keys of each line: x1, x2 with word i left out (i from 0), or of all words (i = -1).
-    spread = near.select("ord", "n", "t").repartition("ord").select("ord", "n", F.posexplode(F.split("t", " ")).alias("i", "w"))
+    close = near.select("ord", "n", "t").join(some.hint("merge"), "ord", "left_semi")
+    spread = close.select("ord", "n", F.posexplode(F.split("t", " ")).alias("i", "w"))
     spread = spread.select("ord", "n", "i", *[_at(F.col("i") - back, F.col("w"), s).alias(f"{'pq'[back]}{s}") for s in (1, 2) for back in (0, 1)])
     line = W.partitionBy("ord")
     upto = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -110,6 +152,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     this = F.struct("i", "x1", "x2", (F.col("n") - 1).alias("len"))
     keys = sums.select("ord", F.explode(F.array(this, whole)).alias("v")).where("v is not null").select("ord", "v.*")
     keys = written(keys, "keys")
+    used(frames)
 
     # The earliest line with each variant at the same position, and with each whole key.
     meet = keys.groupBy("len", "x1", "x2", "i").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
@@ -139,13 +182,14 @@ def keep_lines(docs: DataFrame) -> DataFrame:
 
     Where docs has columns of these names, the new ones get an underscore.
     """
-    d, h, gone, n_lines, n_dropped = fresh(docs, "d__", "h__", "gone__", "n_lines", "n_dropped")
+    d, h, gone, lines, n_lines, n_dropped = fresh(docs, "d__", "h__", "gone__", "lines__", "n_lines", "n_dropped")
     drop = written(repeated_lines(docs).groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_list("line").alias(gone)), "gone")
     keyed = docs.select(*everything(docs), F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias(d), F.xxhash64("text").alias(h))
     out = keyed.join(drop.hint("shuffle_hash"), [d, h], "left")
-    lines = F.split("text", "\n")
+    # a column of its own: inside transform() a text would be split again for each line
+    out = out.withColumn(lines, F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hash, in order
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
     columns = [text.alias(c) if c == "text" else named(c) for c in docs.columns]
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(*columns, size.alias(n_lines), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_dropped))

@@ -249,6 +249,50 @@ def test_lines_in_another_case(spark):
     assert got == {1: f"{long}\nx\nword", 2: "\u00e9\n\u00c9\ny", 3: ""}
 
 
+def test_lines_in_another_case_beyond_ascii(spark):
+    """Lines are told apart by the bytes of their texts in Latin-1; only A-Z may fall together, whatever the locale of the JVM."""
+    odd = ["\u00c9", "\u00e9", "\u00c3", "\u00e3", "\u0130", "\u0131", "i", "I", "k", "K", "\u212a", "\u03a3", "\u03c3", "\u03c2", "\u00df", "\u1e9e", "\u00d7", "\u00f7", "\U00010400", "\U00010428", "\u4e00", "\u0400", "\u0450", "\u00a0", "\u0085", "\u2003", "\u20ac"]
+    r = random.Random(5)
+    long = ["This Is", "a longer LINE of", "nine words or so"]
+    lines = [*odd, *[f"{x} In" for x in odd], *[f"{x}{y}" for x in odd for y in ("I", "i")], *[f"{long[0]} {x} {long[1]} {y} {long[2]}" for x in odd[:12] for y in ("I", "\u0131", "i")], "IN", "in", "\tI\x0b in\r", " ", "\r", "i  IN"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    rows += [(60 + i, "\n".join(x for x in r.choices(lines, k=6) if x.isascii())) for i in range(20)]
+    want = brute_lines(rows)
+    locale = spark._jvm.java.util.Locale
+    before = locale.getDefault()
+    for name in ("en", "tr", "lt"):
+        locale.setDefault(locale.forLanguageTag(name))
+        try:
+            got = {x["doc_id"]: x["text"] for x in line_dedup.keep_lines(docs(spark, rows)).collect()}
+        finally:
+            locale.setDefault(before)
+        assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want) for i, t in rows}, name
+
+
+def test_lines_one_word_apart_of_each_length(spark):
+    """Each length has its own blocks: one word replaced, inserted or left out anywhere is found."""
+    rows = []
+    for n in (*range(7, 28), 31, 32, 33, 63, 64, 65):
+        words = [f"w{n}x{i}" for i in range(n)]
+        for at in sorted({0, 1, n // 8, n // 2, n // 2 + 1, n - 2, n - 1}):
+            for new in ([], ["new"], ["new", words[at]]):
+                base = [f"{x}at{at}{len(new)}" for x in words]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:at], *([*new[:1], base[at]] if len(new) == 2 else new), *base[at + 1 :]]))]
+    kept = {x["doc_id"]: x["text"] for x in line_dedup.keep_lines(docs(spark, rows)).collect()}
+    for (i, a), (k, b) in zip(rows[::2], rows[1::2], strict=True):
+        found = min(len(a.split(" ")), len(b.split(" "))) >= line_dedup.SHARE
+        assert kept[i] == a and kept[k] == ("" if found else b), (a, b)
+
+
+def test_lines_are_read_once(spark):
+    """Case and white space are worked out once for each text, and a text is not split again for each of its lines."""
+    some = docs(spark, [(1, "A b\na B\n\u00c9 c"), (2, "a b")])
+    plan = line_dedup._lines(line_dedup._row_key(some))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("regexp_replace(") == 1 and plan.count("split(") == 1 and "translate(" not in plan
+    plan = line_dedup.keep_lines(some)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and plan.count("split(") == 1
+
+
 def test_line_edges(edge):
     out = line_dedup.keep_lines(edge)
     assert out.columns == [*edge.columns, "n_lines", "n_dropped"]
