@@ -11,12 +11,24 @@ no lines to drop, is nobody's duplicate, is mixed by its posterior and has no to
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import entries, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
-from larkspur.llm.common import named, read, written
+from larkspur.llm.common import lean, named, read, written
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The function, begun with what earlier stages left in the executors collected."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
 
 
 def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -24,11 +36,13 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in like.columns])
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; so do documents that had lines dropped and have no word left."""
     kept = line_dedup.keep_lines(docs)
@@ -36,16 +50,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _measured(kept, docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity of 0.8 or more over five-word shingles) stays."""
     return near_dedup.keep_one(docs, percent=80)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says."""
     return mixing.mixed(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its place in a sequence, in tokens of the model's vocabulary."""
     return packing.packed(docs, counter=token_counts.counter(spark, entries.token_path()))

@@ -142,3 +142,18 @@ def settled(spark: SparkSession, pause: float = 0.0) -> None:
     if time.monotonic() - _LAST[0] >= pause:
         spark.sparkContext._jvm.System.gc()
         _LAST[0] = time.monotonic()
+
+
+#: Bytes of a batch between the JVM and a Python worker; without it 10,000 rows of any size go at once, and both sides hold them several times.
+BATCH, SIZED = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Before a stage: later Python steps of the session get batches of BATCH bytes, if it names no limit of its own, and the executors collect.
+
+    What the stages before left in an executor's JVM it would keep beside the next one's workers. A task for each core reaches them all.
+    """
+    if spark.conf.get(SIZED, None) is None:
+        spark.conf.set(SIZED, str(BATCH))
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()  # one null a task

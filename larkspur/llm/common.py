@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import PAUSE, mapped, settled, shared_dir, shipped, used, written  # noqa: F401
+from ..frame import BATCH, PAUSE, lean, mapped, settled, shared_dir, shipped, used, written  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -114,7 +114,7 @@ class Features:
     def __init__(self, chosen: list[int]):
         self.at = {s: i for i, s in enumerate(chosen)}
         self.width = len(chosen) + SHAPE + 1
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), self.width))
@@ -123,7 +123,7 @@ class Features:
             for piece in set((t or "").split()):
                 found = known.get(piece)
                 if found is None:
-                    found = [self.at[s] for w in words(piece) for s in slots_of(w) if s in self.at]
+                    found = tuple(self.at[s] for w in words(piece) for s in slots_of(w) if s in self.at)  # most are empty, and all those are one object
                     if len(known) < 300_000:
                         known[piece] = found
                 for i in found:

@@ -7,10 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from larkspur import frame
 from larkspur.llm import entries, html_text, line_dedup, linear, media, mixing, near_dedup, packing, quality_rules, textkit, token_counts, toxicity, url_filter
 
 from oracle import check
@@ -863,3 +866,47 @@ def test_word_hashes_do_not_depend_on_the_block():
     a = textkit.Words([b"x yy zzz"], False).hashes()
     b = textkit.Words([b"other text", b"  yy\tzzz x"], False).hashes()
     assert a.tolist() == [b[4], b[2], b[3]]
+
+
+def test_pipeline_stages_send_small_batches(spark, sf_dir, monkeypatch):
+    """10,000 rows of long texts at once are held several times over in the JVM and in each worker."""
+    rows = docs(spark, [(i, LONG) for i in range(40)]).coalesce(1)  # 4 MB in one partition
+    before, most = spark.conf.get(frame.SIZED, None), 2 * frame.BATCH
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        for own in (None, "3000000"):  # a limit that the session names stays
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.unset(frame.SIZED) if own is None else spark.conf.set(frame.SIZED, own)
+                stage(spark, rows.limit(0), sf_dir)
+                assert spark.conf.get(frame.SIZED) == (own or str(frame.BATCH))
+            got = rows.select("doc_id", "text").mapInArrow(sizes, "n long, size long").agg(F.sum("n"), F.max("size")).first()
+            assert got[0] == 40 and (got[1] <= most if own is None else got[1] > most)
+    finally:
+        spark.conf.unset(frame.SIZED) if before is None else spark.conf.set(frame.SIZED, before)
+
+
+def test_pipeline_stages_let_executors_collect(spark):
+    """An executor's heap holds on to what earlier stages left in it, beside the next stage's workers."""
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    frame.lean(spark)
+    assert full() > before
+
+
+def test_words_without_features_are_held_once():
+    f = linear.Features([])
+    f.of_texts(["one two three", "four", None])
+    assert len(f._known) == 4 and len({id(x) for x in f._known.values()}) == 1
+
+
+def test_forest_orders_grow_with_the_sets():
+    """A row for each set and tree, whatever the sets have in common."""
+    for forest in map(near_dedup.Forest.of, (80, 85)):
+        for m in (1, 50, 2500):
+            batch = pd.DataFrame({"rep": range(m), "root": 0, "sig": [b"\0\1" * near_dedup.N] * m})
+            few = forest.trees // 4
+            assert [sum(map(len, near_dedup._orders(forest, t)(iter([batch])))) for t in (range(few), range(few, forest.trees))] == [m * few, m * (forest.trees - few)]
